@@ -104,3 +104,20 @@ def starts(df: DataFrame, part: str, to: str, amount: Column) -> DataFrame:
     sums = df.groupBy(part).agg(F.sum(amount).alias(to))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return sums.withColumn(to, F.coalesce(F.sum(to).over(before), F.lit(0)).cast("long"))
+
+
+def running(df: DataFrame, order: list[Column], amount: str, to: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows before each row in the order of ``order`` as column ``to``.
+
+    As ``positions``, but within a range the sum is a window over that range, which the range's size bounds.
+    """
+    from pyspark.sql import Window
+
+    tie, row, part = (fresh(df, c) for c in ("tie", "row", "part"))
+    df = cut(df.withColumn(tie, F.monotonically_increasing_id()))
+    spread = df.repartitionByRange(*order, F.col(tie)).sortWithinPartitions(*order, F.col(tie))
+    held = cut(spread.withColumn(row, F.monotonically_increasing_id()).drop(tie)).withColumn(part, F.shiftright(row, 33))
+    before = Window.partitionBy(part).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    summed = held.withColumn(fresh(df, "inner"), F.coalesce(F.sum(amount).over(before), F.lit(0)))
+    out = summed.join(F.broadcast(starts(held, part, to, F.col(amount))), part)
+    return out.withColumn(to, F.col(to) + F.col(fresh(df, "inner"))).drop(part, row, fresh(df, "inner"))

@@ -103,7 +103,7 @@ def _places(h: Column) -> dict[str, Column]:
     return {"block": F.shiftright(h, 50).cast("long"), "part": F.shiftright(h, 40).cast("long") % BLOCKS}
 
 
-def plan(rows: DataFrame, budget: int | None, target_entropy: float | None, max_repeats: float | None, seed: int) -> DataFrame:
+def plan(rows: DataFrame, budget: float, target_entropy: float | None, max_repeats: float | None, seed: int) -> DataFrame:
     """Rows (s, tokens, weight, quota, epochs, at_block, at_part, last_h, last_key), one for each source.
 
     A source is used ``epochs`` times in full and once up to the named place of that epoch's block permutation,
@@ -113,7 +113,7 @@ def plan(rows: DataFrame, budget: int | None, target_entropy: float | None, max_
     blocks = cut(rows.groupBy("s", "block").agg(F.sum("words").alias("words")))
     sources = cut(blocks.groupBy("s").agg(F.sum("words").alias("tokens")))
     total = int(sources.agg(F.sum("tokens")).first()[0] or 0)
-    budget = total if budget is None else budget
+    budget = int(total * budget)
     e = exponent(sources, total, budget, target_entropy, max_repeats) if total else 1.0
     power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(e))).otherwise(0.0)
     scale = float(sources.agg(F.sum(power.cast("decimal(30,20)"))).first()[0] or 1)
@@ -154,11 +154,11 @@ def copies_of(h: Column, key: Column, seed: int) -> Column:
     return (F.col("epochs") + F.when(taken, 1).otherwise(0)).cast("int")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget: int | None = None, target_entropy: float | None = 0.99, max_repeats: float | None = 4.0, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget: float = 1.5, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, seed: int = 1) -> DataFrame:
     """One row (key, source, words, epoch, block, turn) for each use of a document.
 
-    Source shares of the words are raised to an exponent (see ``exponent``) and scaled to weights; ``budget`` words
-    (null: as many as there are) are dealt out by them. Every epoch of a source takes its blocks in another
+    Source shares of the words are raised to an exponent (see ``exponent``) and scaled to weights; ``budget`` times the words
+    that there are is dealt out by them. Every epoch of a source takes its blocks in another
     permutation (``turn``); the last epoch stops where the source's quota is full, less than a document short of it.
 
     A null source is a source of its own; a null or blank text has no word and is used whenever its place is; a
@@ -172,7 +172,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     return out.select(F.col("key").alias(key), name.alias(source), "words", "epoch", F.col("block").cast("int").alias("block"), F.col("turn").cast("int").alias("turn"))
 
 
-def realise(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget: int | None = None, target_entropy: float | None = 0.99, max_repeats: float | None = 4.0, seed: int = 1) -> DataFrame:
+def realise(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget: float = 1.5, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, seed: int = 1) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` uses it, with the columns of ``docs`` and no others."""
     rows = narrow(docs, key, source, text, seed)
     held = plan(rows, budget, target_entropy, max_repeats, seed)
@@ -208,17 +208,17 @@ halved AS (
   FROM (SELECT step, low, high, rlow, rhigh, (low + high) / 2 AS mid, (rlow + rhigh) / 2 AS rmid,
                ln(list_sum(list_transform(ts, lambda t: (t / total) ** ((low + high) / 2))))
                - (low + high) / 2 * list_sum(list_transform(ts, lambda t: (t / total) ** ((low + high) / 2) * ln(t / total)))
-                 / list_sum(list_transform(ts, lambda t: (t / total) ** ((low + high) / 2))) >= 0.99 * ln(n) AS flat,
-               (least / total) ** ((rlow + rhigh) / 2 - 1) / list_sum(list_transform(ts, lambda t: (t / total) ** ((rlow + rhigh) / 2))) > 4.0 AS many
+                 / list_sum(list_transform(ts, lambda t: (t / total) ** ((low + high) / 2))) >= 0.95 * ln(n) AS flat,
+               floor(total * 1.5) / total * (least / total) ** ((rlow + rhigh) / 2 - 1) / list_sum(list_transform(ts, lambda t: (t / total) ** ((rlow + rhigh) / 2))) > 4.0 AS many
         FROM halved, facts WHERE step < {HALVINGS})),
 ends AS (
   SELECT total, ts, CASE WHEN n <= 1 THEN 1.0 ELSE least_of END AS e FROM (
     SELECT total, n, ts, least(1.0, greatest(
-      CASE WHEN -list_sum(list_transform(ts, lambda t: t / total * ln(t / total))) >= 0.99 * ln(n) THEN 1.0 ELSE low END,
-      CASE WHEN total / least / n > 4.0 THEN rlow + 0.5 ** {HALVINGS} ELSE 0.0 END)) AS least_of
+      CASE WHEN -list_sum(list_transform(ts, lambda t: t / total * ln(t / total))) >= 0.95 * ln(n) THEN 1.0 ELSE low END,
+      CASE WHEN floor(total * 1.5) / least / n > 4.0 THEN rlow + 0.5 ** {HALVINGS} ELSE 0.0 END)) AS least_of
     FROM facts, halved WHERE step = {HALVINGS})),
 quotas AS (
-  SELECT s, tokens, CASE WHEN tokens > 0 THEN floor((tokens / total) ** e / list_sum(list_transform(ts, lambda t: (t / total) ** e)) * total)::BIGINT END AS quota
+  SELECT s, tokens, CASE WHEN tokens > 0 THEN floor((tokens / total) ** e / list_sum(list_transform(ts, lambda t: (t / total) ** e)) * floor(total * 1.5))::BIGINT END AS quota
   FROM sources, ends),
 epochs AS (SELECT s, CASE WHEN tokens > 0 THEN quota // tokens::BIGINT ELSE 1 END AS epochs,
                   CASE WHEN tokens > 0 THEN quota % tokens::BIGINT ELSE -1 END AS room FROM quotas),

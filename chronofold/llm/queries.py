@@ -7,22 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import media, mixing, packing, quality, sharding, simhash
+from chronofold.llm import licenses, media, mixing, packing, quality, sharding, simhash, topk, urls, warc
 from chronofold.llm._common import table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.drill(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), 40)
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.page_labels(pages, table(spark, sf_dir, "labels")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost")
@@ -37,8 +54,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op4_simhash, op6_sharding, op8_packing, op9_mixing, op10_media)}
+    return {f.__name__: f for f in (op1_topk, op2_quality, op3_licenses, op4_simhash, op5_warc, op6_sharding, op7_urls, op8_packing, op9_mixing, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.SQL}
+    return {"op1_topk": topk.SQL, "op3_licenses": licenses.sql(), "op5_warc": warc.SQL, "op6_sharding": sharding.SQL, "op9_mixing": mixing.SQL}

@@ -63,3 +63,29 @@ def place(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "t
     sizes = placed.groupBy("shard").agg(F.min("slot").alias("first"))  # a row for each shard
     out = placed.join(F.broadcast(sizes), "shard") if shards <= 1 << 16 else placed.join(sizes, "shard")
     return out.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("slot") - F.col("first")).alias("slot"), "grown_shard")
+
+
+#: The same in DuckDB's SQL over the view ``documents``: check sums by bytes, and the jumps of all rows step by step.
+SQL = f"""
+WITH RECURSIVE remainders AS (
+  SELECT list(r ORDER BY n) AS tab FROM (
+    SELECT n, list_reduce(range(8), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, n) AS r FROM (SELECT unnest(range(256)) AS n))),
+base AS (
+  SELECT row_number() OVER () AS id, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
+         CASE WHEN text IS NOT NULL THEN xor(list_reduce(
+           list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT),
+           lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) END AS text_crc32,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::HUGEINT AS key
+  FROM documents, remainders),
+jumps AS (
+  SELECT id, shards, key AS state, -1::BIGINT AS shard, 0::BIGINT AS next FROM base, (SELECT unnest([40, 41]) AS shards)
+  UNION ALL
+  SELECT id, shards, drawn, next, floor((next + 1) * (2147483648.0::DOUBLE / ((drawn // 8589934592)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT id, shards, next, (state * {STEP} + 1) % 18446744073709551616 AS drawn FROM jumps WHERE next < shards)),
+landed AS (SELECT id, shards, max(shard)::INTEGER AS shard FROM jumps GROUP BY id, shards),
+placed AS (
+  SELECT b.*, x.shard, y.shard AS grown_shard FROM base b JOIN landed x ON x.id = b.id AND x.shards = 40 JOIN landed y ON y.id = b.id AND y.shards = 41)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) - 1 AS slot, grown_shard
+FROM placed
+"""
