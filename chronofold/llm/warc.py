@@ -162,6 +162,6 @@ summed AS (
 SELECT page_id, start // {ARCHIVE} AS archive, start % {ARCHIVE} AS "offset", length,
        CASE WHEN page_id % 211 = 3 THEN 'missing' ELSE 'changed' END AS state
 FROM summed
-WHERE page_id % 211 = 3 OR (page_id % 97 = 5 AND (html IS NULL OR left(html, 1) <> '#'))
+WHERE page_id % 211 = 3 OR (page_id % 97 = 5 AND left(html, 1) <> '#')
    OR (page_id % 97 <> 5 AND page_id % 389 = 7 AND html <> '')
 """
