@@ -21,7 +21,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; rows without an id stay.
 
-    Of rows that repeat an id one stays, the one with the smallest columns.
+    Of rows that repeat an id one stays, whichever comes first.
     """
     found = simhash.near_duplicates(docs)
     other = found.where("doc_id <> component_id").select("doc_id").distinct()
