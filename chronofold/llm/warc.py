@@ -82,8 +82,8 @@ class Tree:
     """Levels (archive, node, hash) over leaves (archive, offset, length, digest); level 0 is of ``RANGE`` bytes a node.
 
     A node's hash is over its children in order, each with its place. A node has ``FANOUT`` children, or the records
-    that begin in its range: their headers alone bound how many these are. Leaves are kept, and level 0; the others
-    are a few rows.
+    that begin in its range: their headers alone bound how many these are. Leaves and levels are kept, so an
+    audit reads each once.
     """
 
     def __init__(self, leaves: DataFrame):
@@ -92,7 +92,7 @@ class Tree:
         self.levels = [cut(self._over(self.leaves.select("archive", "node", F.col("offset").alias("at"), own.alias("own"))))]
         for _ in range(depth()):
             below = self.levels[-1]
-            self.levels.append(self._over(below.select("archive", F.floor(F.col("node") / FANOUT).alias("node"), F.col("node").alias("at"), F.concat_ws(":", F.col("node").cast("string"), "hash").alias("own"))))
+            self.levels.append(cut(self._over(below.select("archive", F.floor(F.col("node") / FANOUT).alias("node"), F.col("node").alias("at"), F.concat_ws(":", F.col("node").cast("string"), "hash").alias("own")))))
 
     @staticmethod
     def _over(children: DataFrame) -> DataFrame:
@@ -117,8 +117,8 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
             up = differ.select("archive", F.col("node").alias("up"))
             sides = [x.join(up, ["archive", "up"], "left_semi") for x in sides]
         left, right = (x.select("archive", "node", F.col("hash").alias(n)) for x, n in zip(sides, "ab", strict=True))
-        differ = left.join(right, ["archive", "node"], "full_outer").where("NOT (a <=> b)").select("archive", "node")
-    differ = cut(differ)
+        # kept, as both sides of the next level read it
+        differ = cut(left.join(right, ["archive", "node"], "full_outer").where("NOT (a <=> b)").select("archive", "node"))
     left, right = (x.leaves.join(differ, ["archive", "node"], "left_semi").groupBy("archive", "offset").agg(F.min("length").alias(f"{n}l"), F.min("digest").alias(n), F.lit(True).alias(f"{n}h")) for x, n in ((a, "a"), (b, "b")))
     both = left.join(right, ["archive", "offset"], "full_outer").where("ah IS NULL OR bh IS NULL OR NOT (a <=> b) OR NOT (al <=> bl)")
     state = F.when(F.col("bh").isNull(), "missing").when(F.col("ah").isNull(), "extra").otherwise("changed")
