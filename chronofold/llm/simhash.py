@@ -116,8 +116,9 @@ def distance(prints: np.ndarray, point: np.uint64) -> np.ndarray:
 def choose(held: np.ndarray, rng: np.random.Generator, tries: int = 4) -> tuple[np.uint64, int]:
     """Of a few fingerprints, the one and the radius that split ``held`` with the fewest in the border band."""
     best = None
+    some = held[:: len(held) // (1 << 14) + 1]
     for point in held[rng.integers(0, len(held), tries)]:
-        d = distance(held[: 1 << 14], point)
+        d = distance(some, point)
         radius = int(np.median(d))
         inside = np.count_nonzero(d <= radius) / len(d)
         cost = abs(inside - 0.5) + np.count_nonzero((d >= radius - 1) & (d <= radius)) / len(d)
