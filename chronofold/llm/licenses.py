@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("cc-by-4.0-short", "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 ]
 
+#: Words that are looked for only where nothing else will do.
+COMMON = {"a", "and", "any", "at", "be", "by", "if", "in", "is", "it", "not", "of", "or", "the", "this", "to", "under", "with", "you"}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,6 +37,23 @@ def normal_words(text: str) -> list[str]:
     return "".join(c if c in _LOWER or c in "0123456789" else _LOWER[_UPPER.index(c)] if c in _UPPER else " " for c in text).split()
 
 
+def anchors(own: list[str], least: float) -> set[str]:
+    """Words of which a unit must have one to reach ``least`` with a template of these bigrams.
+
+    Such a unit shares m bigrams at least, where 2 m / (m + n) is ``least``; so it has one of any n - m + 1 of them,
+    and one of the words chosen so that as many bigrams hold one. Long words come first, common ones last.
+    """
+    n = len(own)
+    shared = next(m for m in range(1, n + 1) if 2 * m / (m + n) >= least - 1e-9)
+    words = sorted({w for b in own for w in b.split(" ")}, key=lambda w: (w in COMMON, len(w) < 6, -sum(w in b.split(" ") for b in own), -len(w), w))
+    chosen: set[str] = set()
+    for word in words:
+        if sum(bool(chosen & {*b.split(" ")}) for b in own) > n - shared:
+            break
+        chosen.add(word)
+    return chosen
+
+
 def words_of(text: Column) -> Column:
     """The words of a text: runs of a-z and 0-9 after lower-casing A-Z."""
     return F.filter(F.split(F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " "), " "), lambda w: w != "")
@@ -46,8 +69,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     Units are the lines, the paragraphs of several lines and the whole text of several paragraphs; ``place`` counts
     them from 0. The coefficient is over sets of word bigrams. A template can only reach ``least`` for units whose
     number of bigrams is between ``least / (2 - least)`` times and the inverse of that times its own, so units are
-    first dropped by size, then where they share no bigram with any template in reach. Every step is within a row:
-    nothing is shuffled and a document of any length is taken apart line by line.
+    dropped by size, then where they share no bigram with any template; before that, texts without any template's
+    ``anchors`` are, which no match can be in. Every step is within a row: nothing is shuffled and a document of any
+    length is taken apart line by line.
 
     A null or empty text, and one without a word pair, has no row; a null key stays null; repeated rows give repeated
     rows; equal coefficients of several templates each give a row. Empty tables give no rows.
@@ -64,7 +88,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
 
     whole = F.when(F.size(paragraphs) > 1, F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
     every = F.concat(units(lines, "line", None), units(paragraphs, "paragraph", lambda t: t.contains("\n")), units(whole, "text", None))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
+    # exploded, so that the lower-casing is done once and not again for each word looked for
+    lowered = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.explode(F.array(F.translate(F.col(text), _UPPER, _LOWER))).alias("low"))
+    wanted = sorted(set().union(*(anchors(b, least) for *_, b in known)), key=lambda w: (-len(w), w))
+    rows = lowered.where(reduce(or_, (F.col("low").contains(w) for w in wanted))).select("key", "text")
     cutup = rows.select("key", F.explode(every).alias("u")).select("key", "u.unit", "u.place", words_of(F.col("u.t")).alias("words"))
     sized = cutup.where(F.size("words") > fewest).select("key", "unit", "place", bigrams_of(F.col("words")).alias("pairs"))
     sized = sized.where(F.size("pairs").between(F.lit(fewest), F.lit(most)))

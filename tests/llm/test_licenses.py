@@ -50,3 +50,12 @@ def test_size_bounds_lose_nothing(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_anchors_are_in_every_match():
+    """A unit that lacks all of a template's anchors cannot reach the threshold: the best such unit has all other bigrams."""
+    for _, _, wording in licenses.TEMPLATES:
+        own = licenses.bigrams(licenses.normal_words(wording))
+        chosen = licenses.anchors(own, 0.8)
+        left = [b for b in own if not chosen & {*b.split(" ")}]
+        assert 2 * len(left) / (len(left) + len(own)) < 0.8
