@@ -215,3 +215,12 @@ def test_live_fold(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert [tuple(r) for r in spark.sql("SELECT * FROM live").collect()] == [("L", "§1", "One.", 1)]
+
+
+@pytest.mark.parametrize("sent", [0, 10_000])
+def test_verbatim_passages(spark, monkeypatch, sent):
+    monkeypatch.setattr(align, "SENT", sent)
+    passages = [(1, "one two three four five six seven"), (2, "two words"), (3, "b c d e f g h"), (4, "nowhere to be found in any of these texts")]
+    texts = [(1, "x one two three four five six seven y"), (2, "zone two three four five six sevens"), (3, "one two three four five six"), (4, "a b c d e f g\nh"), (5, "xb c d e f g hi two words"), (6, None)]
+    got = align.verbatim(spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame(passages, "item int, text string"), "k", "item")
+    assert sorted(map(tuple, got.collect())) == sorted((i, k) for i, p in passages for k, t in texts if t and p in t)
