@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from chronofold.llm import mixing, packing, quality, simhash
+from chronofold.llm import jaccard, mixing, packing, quality
 from chronofold.llm._common import bounded_batches, fresh
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +21,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; rows without an id stay.
 
-    Of rows that repeat an id one stays, whichever comes first.
+    Near duplicates have a Jaccard similarity of 0.8 or more over five-word shingles. Of rows that repeat an id one
+    stays, whichever comes first.
     """
-    found = simhash.near_duplicates(docs)
+    found = jaccard.near_duplicates(docs, least=0.8, shingle=5)
     other = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(other, "doc_id", "left_anti").select(docs.columns)
     return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
