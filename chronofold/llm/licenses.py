@@ -77,6 +77,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     rows; equal coefficients of several templates each give a row. Empty tables give no rows.
     """
     low, high = least / (2 - least), (2 - least) / least
+    # wider by a little than floats say, so that a bound which is a whole number keeps it; the coefficient decides
+    low, high = low - 1e-9, high + 1e-9
     known = [(name, licence, bigrams(normal_words(wording))) for name, licence, wording in templates]
     fewest, most = min(len(b) for *_, b in known) * low, max(len(b) for *_, b in known) * high
     lines = F.split(F.col("text"), "\n")

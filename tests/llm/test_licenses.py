@@ -59,3 +59,23 @@ def test_anchors_are_in_every_match():
         chosen = licenses.anchors(own, 0.8)
         left = [b for b in own if not chosen & {*b.split(" ")}]
         assert 2 * len(left) / (len(left) + len(own)) < 0.8
+
+
+def test_lines_of_exactly_the_least_coefficient(spark):
+    """1.5 times or two thirds of a template's bigrams, all of the smaller set shared: the coefficient is 0.8."""
+    rows = [(1, "This work is licensed under CC BY-NC 4.0."), (2, "Code is released under the MIT License.")]
+    for k, (_, _, wording) in enumerate(licenses.TEMPLATES):
+        words = licenses.normal_words(wording)
+        n = len(licenses.bigrams(words))
+        rows.append((10 + k, " ".join([*words, *(f"x{j}" for j in range(n // 2))])))
+        rows.append((40 + k, " ".join(words[: 2 * n // 3 + 1])))
+    got = {(r[0], r[3]): r[6] for r in run(spark, rows) if r[1] == "line"}
+    assert got[1, "cc-by-nc-4.0-short"] == got[2, "mit-short"] == 0.8
+    want = {}
+    for key, text in rows:
+        own = set(licenses.bigrams(licenses.normal_words(text)))
+        for name, _, wording in licenses.TEMPLATES:
+            other = set(licenses.bigrams(licenses.normal_words(wording)))
+            if 10 * len(own & other) >= 4 * (len(own) + len(other)):
+                want[key, name] = round(2 * len(own & other) / (len(own) + len(other)), 9)
+    assert got == want and sum(d == 0.8 for d in got.values()) > 8
