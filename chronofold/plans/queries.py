@@ -395,27 +395,33 @@ def truth_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- similarity: Ratcliff-Obershelp has no SQL, so these are held against brute force in the tests
 
 
-def _short_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of 30 to 800 characters, the length of provisions."""
-    return table(spark, sf_dir, "documents").where("length(text) BETWEEN 30 AND 800").select(F.col("doc_id").alias("id"), "lang", "text")
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text")
 
 
 @query()
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _short_docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir)
     return align.pairs(docs, docs, 0.9, ["lang"]).where("a_id < b_id").withColumn("score", F.round("score", 6))
 
 
+def _matched_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual best matches of every two versions; as in ``truth_coverage``, a source is a version of its languages' texts."""
+    docs = _docs(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit("")))
+    other = docs.select(F.col("source").alias("other")).distinct()
+    both = docs.join(other, F.col("source") != F.col("other")).withColumn("a_version", F.least("source", "other")).withColumn("b_version", F.greatest("source", "other"))
+    first = F.col("source") == F.col("a_version")
+    return align.mutual_best(both.where(first), both.where(~first), 0.9, ["lang", "a_version", "b_version"])
+
+
 @query()
 def mutual_best_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _short_docs(spark, sf_dir)
-    return align.mutual_best(docs.where("id % 2 = 0"), docs.where("id % 2 = 1"), 0.9, ["lang"])
+    return _matched_versions(spark, sf_dir)
 
 
 @query()
 def renumber_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _short_docs(spark, sf_dir)
-    return align.renumbered(align.mutual_best(docs.where("id % 2 = 0"), docs.where("id % 2 = 1"), 0.9, ["lang"]))
+    return align.renumbered(_matched_versions(spark, sf_dir))
 
 
 @query()
