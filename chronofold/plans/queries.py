@@ -428,8 +428,7 @@ def renumber_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redline(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     pairs = turns.join(turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before")), ["conv_id", "turn"])
-    short = pairs.where("length(text) < 2000 AND length(before) < 2000")
-    runs = history.redline(short.select("conv_id", "turn", "before", "text"), "before", "text")
+    runs = history.redline(pairs.select("conv_id", "turn", "before", "text"), "before", "text")
     return runs.select("conv_id", "turn", F.size("redline").alias("runs"), F.aggregate(F.filter("redline", lambda r: r["op"] == "same"), F.lit(0), lambda a, r: a + F.length(r["text"])).alias("same"))
 
 

@@ -28,3 +28,7 @@ def test_best_matches_between_versions(spark, folder):
     path, _ = folder
     assert {(r["a_id"], r["b_id"]) for r in queries.mutual_best_docs(spark, path).collect()} == {(0, 2), (6, 8)}
     assert queries.renumber_map(spark, path).count() == 2
+
+
+def test_redline_of_long_turns(spark, folder):
+    assert sorted(r["conv_id"] for r in queries.redline(spark, folder[0]).collect()) == [1, 2]
