@@ -2,6 +2,7 @@
 
 import pytest
 from chronofold.core import wording
+from chronofold.operators import align
 from chronofold.plans import queries
 
 
@@ -32,3 +33,11 @@ def test_best_matches_between_versions(spark, folder):
 
 def test_redline_of_long_turns(spark, folder):
     assert sorted(r["conv_id"] for r in queries.redline(spark, folder[0]).collect()) == [1, 2]
+
+
+def test_many_short_passages(spark, monkeypatch):
+    monkeypatch.setattr(align, "SHORT", 2)
+    passages = [(1, "one"), (2, "two words"), (3, "nowhere"), (4, "e t"), (5, "one two three four five six seven"), (6, None)]
+    texts = [(1, "one two three four five six seven eight"), (2, "two words"), (3, None), (4, "")]
+    got = align.verbatim(spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame(passages, "item int, text string"), "k", "item")
+    assert sorted(map(tuple, got.collect())) == sorted((i, k) for i, p in passages for k, t in texts if t and p and p in t)
