@@ -9,8 +9,8 @@ from chronofold.llm._common import cut
 
 #: Path segments that get a level of the tree; what is deeper stays in the last one.
 DEPTH = 8
-#: A node's branches are one variable when there are so many, and so many of each row.
-MANY, MANY_SHARE = 8, 0.2
+#: A node is a variable when it has so many branches, and so many of each row; its branches need so many labels for their own.
+MANY, MANY_SHARE, OWN = 8, 0.2, 8
 #: Standard errors under which a branch's labels are like its siblings'.
 SIMILAR = 2.0
 #: Labelled rows that a prior weighs.
@@ -55,8 +55,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """Rows (host, shapes, template, purity) of the tree over ``pages`` (host, shapes, labelled 0 or 1, bad 0 or 1).
 
     Rows are first summed by host and shapes, so a host of any size is as many rows as it has shapes. Level by level,
-    a node's branches become one wildcard where they are a variable (``MANY``, ``MANY_SHARE``), and those branches do
-    whose share of bad labels is within ``SIMILAR`` standard errors of their siblings'. A template's purity is its
+    those of a node's branches become one wildcard whose share of bad labels is within ``SIMILAR`` standard errors of
+    their siblings', and in a variable (``MANY``, ``MANY_SHARE``) those with under ``OWN`` labels, which say little. A template's purity is its
     share of good labels, smoothed with ``PRIOR`` rows of its host's share, itself smoothed with that of all.
     """
     held = cut(pages.groupBy("host", "shapes").agg(F.count("*").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b")).withColumn("prefix", F.lit("")))
@@ -70,7 +70,7 @@ def templates(pages: DataFrame) -> DataFrame:
         error = F.sqrt(rate * (1 - rate) * (1.0 / F.col("l") + 1.0 / rest))
         apart = (F.col("l") > 0) & (rest > 0) & (F.abs(F.col("b") / F.col("l") - (F.col("bb") - F.col("b")) / rest) > SIMILAR * error)
         variable = (F.col("k") >= MANY) & (F.col("k") > MANY_SHARE * F.col("all"))
-        named = joined.select("host", "prefix", "seg", F.when(variable | ((F.col("k") > 1) & ~F.coalesce(apart, F.lit(False))), F.lit("*")).otherwise(F.col("seg")).alias("to"))
+        named = joined.select("host", "prefix", "seg", F.when((variable & (F.col("l") < OWN)) | ((F.col("k") > 1) & ~F.coalesce(apart, F.lit(False))), F.lit("*")).otherwise(F.col("seg")).alias("to"))
         moved = deep.join(named, ["host", "prefix", "seg"]).select("host", "shapes", "n", "l", "b", F.concat("prefix", F.lit("/"), "to").alias("prefix"))
         held = cut(moved.unionByName(held.where(F.size("shapes") <= level)))
     total = held.agg(F.sum("l"), F.sum("b")).first()

@@ -110,3 +110,12 @@ def test_labels_of_pages(spark):
     labels = spark.createDataFrame([(25, 0, 0), (9, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
     assert sorted(map(tuple, urls.page_labels(pages, labels).collect())) == [(1, 1), (2, 1)]
     assert pages.select(F.count("*")).first()[0] == 5
+
+
+def test_labelled_branch_beside_many_slugs(spark):
+    """A bad directory keeps its template and verdict at a level of one-off slugs; a slug with one bad label has none."""
+    slugs = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(120)]
+    rows = [(k, f"http://h.info/{s}/page") for k, s in enumerate(slugs)] + [(200 + k, "http://h.info/malware/page") for k in range(30)]
+    got = {r["page_id"]: r for r in run(spark, rows, [(k, int(k >= 200 or k == 7)) for k, _ in rows]).collect()}
+    assert {(got[k]["template"], got[k]["verdict"]) for k in range(200, 230)} == {("/malware/page", "block")}
+    assert {(got[k]["template"], got[k]["verdict"]) for k in range(120)} == {("/*/page", "allow")}
