@@ -200,26 +200,28 @@ def expand(stored: DataFrame, media: str = "media", rate: int = WIDE_RATE) -> Da
 
 
 def describe(stored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What the stored files of ``store`` hold, read back: digests of payload and file, and audio features.
+    """What the stored files of ``store`` hold, read back: digests of payload, file and resampled PCM file, and audio features.
+
+    The PCM file is that of ``expand``, made here with the features so that a file is decoded once.
 
     ``feature`` names the codec, the resampled samples, their root mean square, peak, zero crossings and check sum.
     ADPCM files of a batch are decoded together, as many blocks at a time as fit.
     """
-    names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm_bytes", "pcm_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch.column(2).to_pylist()
             payloads = list(map(read_payload, files))
-            features = list(_features(files))
+            wide, digests, features = zip(*_features(files), strict=True) if files else ((), (), ())
             columns = [
                 batch.column(0), batch.column(1), pa.array(list(map(len, payloads)), pa.int64()), [hashlib.sha256(p).hexdigest() for p in payloads],
-                pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()), pa.array(list(map(len, files)), pa.int64()), [hashlib.sha256(f).hexdigest() for f in files], features,
+                pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()), pa.array(list(map(len, files)), pa.int64()), [hashlib.sha256(f).hexdigest() for f in files], pa.array(wide, pa.int64()), digests, features,
             ]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for c in columns], names)
 
     kind = stored.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pcm_bytes long, pcm_sha256 string, feature string"
     return stored.select(F.col(key).alias("key"), "n_bytes", "media").mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
@@ -227,9 +229,9 @@ def describe(stored: DataFrame, key: str = "doc_id") -> DataFrame:
 TOGETHER = 2 << 20
 
 
-def _features(files: list[bytes]) -> Iterator[str]:
+def _features(files: list[bytes]) -> Iterator[tuple[int, str, str]]:
     read = [read_wav(f) for f in files]
-    pcm: dict[int, np.ndarray] = {}
+    pcm: dict[int, np.ndarray | tuple[int, str, str]] = {}
     todo = [k for k, r in enumerate(read) if r[0] == "adpcm"]
     while todo:
         some, size = [], 0
@@ -245,9 +247,11 @@ def _features(files: list[bytes]) -> Iterator[str]:
         yield pcm[k] if codec == "adpcm" else _summary(codec, decode(files[k])[0], rate)
 
 
-def _summary(codec: str, sound: np.ndarray, rate: int) -> str:
+def _summary(codec: str, sound: np.ndarray, rate: int) -> tuple[int, str, str]:
+    """Bytes and digest of the resampled PCM's file, and the feature."""
     wide = resample(sound, rate)
+    file = wav("pcm", wide.astype("<i2").tobytes(), WIDE_RATE)
     x = wide.astype(np.float64)
     square = int(np.dot(x, x))  # whole numbers below 2**53 in any document of under 8 million samples
     crossings = np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0))
-    return f"{codec} n={len(wide)} rms={(square / max(1, len(wide))) ** 0.5:.3f} peak={int(np.abs(x).max(initial=0))} zc={crossings} crc={zlib.crc32(wide.astype('<i2').tobytes()):08x}"
+    return len(file), hashlib.sha256(file).hexdigest(), f"{codec} n={len(wide)} rms={(square / max(1, len(wide))) ** 0.5:.3f} peak={int(np.abs(x).max(initial=0))} zc={crossings} crc={zlib.crc32(wide.astype('<i2').tobytes()):08x}"

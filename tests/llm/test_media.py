@@ -90,3 +90,15 @@ def test_features_of_a_batch_are_those_of_each_file():
     rng = random.Random(7)
     files = [media.store_payload(media.payload_of(rng.randbytes(rng.randrange(0, 5000))), c) for c in media.CODECS * 5]
     assert list(media._features(files)) == [next(iter(media._features([f]))) for f in files]
+
+
+def test_described_pcm_is_the_expanded_file(spark):
+    """The query's pcm columns are those of the file that expand stores, for each codec."""
+    import hashlib
+
+    rows = [(k, f"text {k} " * (40 * k)) for k in range(9)]
+    stored = media.store(spark.createDataFrame(rows, "doc_id long, text string"))
+    files = {r["doc_id"]: bytes(r["pcm"]) for r in media.expand(stored).collect()}
+    got = media.describe(stored).collect()
+    assert {r["feature"].split()[0] for r in got} == set(media.CODECS)
+    assert {r["doc_id"]: (r["pcm_bytes"], r["pcm_sha256"]) for r in got} == {k: (len(f), hashlib.sha256(f).hexdigest()) for k, f in files.items()}
