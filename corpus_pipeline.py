@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with a check sum of the ids in place of the ids."""
-    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    """The pieces of the packed sequences with their ids, and a check sum of these beside them."""
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
