@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of their word shingles: an exact join over prefixes of ordered shingle sets."""
+"""SimHash near-dedup for a Jaccard threshold: vantage-point trees first, then an exact join over prefixes of shingle sets."""
 
 from __future__ import annotations
 
@@ -7,19 +7,23 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from chronofold.llm._common import blob_values, bounded_batches, cut, utf8
 from chronofold.llm.graph import components
-from chronofold.llm.simhash import word_lists
+from chronofold.llm.simhash import links, majority, word_lists
 
-#: Documents that are sampled for the order of the shingles, documents of the sample from which a shingle counts as
+#: Documents that are sampled for the first order of the shingles, documents of the sample from which a shingle counts as
 #: common, and the most common ones that are sent along. They set the cost alone: any order gives the same pairs.
-SAMPLE, COMMON, SENT = 8192, 3, 100_000
-#: The most keys that are broadcast to choose the texts that are compared; with more, the texts are joined by a shuffle.
+SAMPLE, COMMON, SENT = 4096, 3, 100_000
+#: The most keys that are broadcast to choose rows; with more, the rows are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Rows of a bucket that one comparison takes, and from which its texts are ordered anew; larger buckets go in blocks.
+WIDE, DEEP = 64, 256
+#: The fewest counters of a sketch, and the shingles for each of a larger set.
+CELLS, EACH = 128, 8
 
 
 def shingles(text: bytes, shingle: int = 5) -> np.ndarray:
@@ -48,29 +52,58 @@ def prefix(own: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """How many of a set's hashes have each lowest byte; 255 stands for so many or more."""
-    return np.minimum(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+    """How many of a set's hashes have each value of their lowest bits; 255 stands for so many or more.
 
-
-def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
-    """False where sets of n and m shingles with these sketches (a row each) share too few for a Jaccard of ``least``."""
-    low = np.minimum(a, b)
-    both = np.where((low == 255).any(axis=1), np.minimum(n, m), low.sum(axis=1, dtype=np.int64))
+    A larger set has more counters, a power of two, so that it is told from others as well as a small one is.
+    """
+    cells = max(CELLS, 1 << (len(own) // EACH).bit_length())
+    return np.minimum(np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def may_reach(marks: list[bytes], a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """False where sets of n and m shingles, with the sketches at ``a`` and ``b``, share too few for a Jaccard of ``least``."""
+    sizes = np.array(list(map(len, marks)), np.int64)
+    small, both = np.minimum(sizes[a], sizes[b]), np.empty(len(a), np.int64)
+    for cells in np.unique(small):
+        able = np.flatnonzero(sizes >= cells)
+        place = np.empty(len(marks), np.int64)
+        place[able] = np.arange(len(able))
+        # the counters of a larger sketch that fall together, added up
+        held = np.stack([np.minimum(np.frombuffer(marks[k], np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.int64), 255) for k in able]).astype(np.uint8)
+        for at in np.array_split(np.flatnonzero(small == cells), max(1, np.count_nonzero(small == cells) * cells >> 24)):
+            low = np.minimum(held[place[a[at]]], held[place[b[at]]])
+            both[at] = np.where((low == 255).any(axis=1), np.minimum(n, m)[at], low.sum(axis=1, dtype=np.int64))
     return both >= least * (n + m - both) - 1e-9
 
 
-def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """The ``pairs`` (u, v) of which a text (node, t) of one and a text of the other have a Jaccard similarity of ``least`` or more.
+def chosen(rows: DataFrame, keys: DataFrame, how: str = "left_semi", by: str = "node") -> DataFrame:
+    """``rows`` whose ``by`` is in ``keys`` (node), or (``left_anti``) not in them or null; keys are broadcast where they are few."""
+    keys = cut(keys.select(F.col("node").alias(by)))
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, by, how)
+
+
+def both_nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
 
-    The sketches of ``sets`` (node, n, sketch) bound what two sets share, so that few texts move.
-    """
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (u, v) that the sketches of ``sets`` (node, n, sketch) leave open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 256) for k in (3, 5))
-            good = pa.array(may_reach(a, b, batch.column(2).to_numpy(), batch.column(4).to_numpy(), least), pa.bool_())
+            one, other, at = batch.column(3).to_pylist(), batch.column(5).to_pylist(), np.arange(batch.num_rows)
+            good = pa.array(may_reach(one + other, at, at + len(at), batch.column(2).to_numpy(), batch.column(4).to_numpy(), least), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in (0, 1)], ["u", "v"])
 
+    sets = chosen(sets, both_nodes(pairs))
+    first = pairs.join(sets.select(F.col("node").alias("u"), F.col("n").alias("n1"), F.col("sketch").alias("s1")), "u")
+    second = first.join(sets.select(F.col("node").alias("v"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "v")
+    return second.select("u", "v", "n1", "s1", "n2", "s2").mapInArrow(run, "u long, v long").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """The ``pairs`` (u, v) of which a text (node, t) of one and a text of the other have a Jaccard similarity of ``least`` or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[bytes, np.ndarray]] = {}
 
@@ -87,26 +120,105 @@ def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, least: float, s
                 good.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["u", "v"])
 
-    first = pairs.join(sets.select(F.col("node").alias("u"), F.col("n").alias("n1"), F.col("sketch").alias("s1")), "u")
-    second = first.join(sets.select(F.col("node").alias("v"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "v")
-    likely = cut(second.select("u", "v", "n1", "s1", "n2", "s2").mapInArrow(bound, "u long, v long").distinct())
-    asked = cut(likely.select(F.col("u").alias("node")).unionByName(likely.select(F.col("v").alias("node"))).distinct())
-    texts = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked, "node", "left_semi")
-    first = likely.join(texts.select(F.col("node").alias("u"), F.col("t").alias("a")), "u")
-    both = first.join(texts.select(F.col("node").alias("v"), F.col("t").alias("b")), "v").select("u", "v", "a", "b")
+    pairs = cut(pairs)
+    asked = F.broadcast(pairs) if pairs.count() <= BROADCAST_KEYS else pairs
+    first = texts.select(F.col("node").alias("u"), F.col("t").alias("a")).join(asked, "u")
+    second = chosen(texts, pairs.select(F.col("v").alias("node")).distinct()).select(F.col("node").alias("v"), F.col("t").alias("b"))
+    both = first.join(second, "v").select("u", "v", "a", "b")
     return both.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
+def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``rows`` (h, node, n) of buckets h that hold several components, with component and the bucket's size.
+
+    Of buckets with the same nodes one stays: shingles of a passage name the same documents over and over.
+    """
+    placed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mark = lambda k: F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)"))
+    buckets = placed.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"), mark(1).alias("x"), mark(2).alias("y")).where("a < b")
+    return placed.join(buckets.groupBy("size", "x", "y").agg(F.min("h").alias("h")).select("h", "size"), "h").select("h", "node", "n", "component", "size")
+
+
+def compared(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of a bucket's ``rows`` (h, node, n, component, size) that are apart and that sizes and sketches leave open.
+
+    A bucket is cut into blocks of about ``WIDE`` rows; a task compares two blocks at a time and returns only likely
+    pairs, so no bucket is ever held whole and no pairs of it are written out.
+    """
+
+    def group(h, i, j, node, n, component, block, marks) -> tuple[np.ndarray, np.ndarray]:
+        other = (component[:, None] != component[None, :]) & (node[:, None] < node[None, :])
+        if i != j:
+            other &= block[:, None] != block[None, :]
+        a, b = np.nonzero(other & (np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]) - 1e-9))
+        good = may_reach(list(marks), a, b, n[a], n[b], least)
+        return node[b[good]], node[a[good]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def pairs_of(columns: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
+            out = [group(*(c[s] for c in columns[:3]), *(c[s:e] for c in columns[3:])) for s, e in zip([0, *ends], ends, strict=False)]
+            u, v = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_numpy() for k in range(7)] + [np.array([*batch.column(7).to_pylist(), None], object)[:-1]]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
+            at = int(new[-1]) if len(new) else 0
+            yield pairs_of([c[:at] for c in columns], [int(k) for k in new])
+            rest = [c[at:] for c in columns]
+        if rest is not None and len(rest[0]):
+            yield pairs_of(rest, [len(rest[0])])
+
+    blocks = F.ceil(F.col("size") / WIDE).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("h", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "n", "component", "block")
+    marked = dealt.join(sets.select("node", "sketch"), "node").select("h", "i", "j", "node", "n", "component", "block", "sketch")
+    return marked.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "u long, v long").distinct()
+
+
+def by_frequency(texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Rows (h, node, n) of each text's prefix in the order of the shingles' true document frequency among ``texts``.
+
+    Shingles of one text alone come first in that order and can't be shared, so they only use the prefix up; a text
+    with more of them than its prefix is long has no rows at all. Texts of one node with as many shingles are taken
+    together, which makes their prefix longer, never shorter.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, shingle) for t in blob_values(batch.column(1))]
+            many = np.array(list(map(len, sets)), np.int64)
+            h = np.concatenate([*(s.view(np.int64) for s in sets), np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(np.repeat(many, many)), pa.array(h)], ["node", "n", "h"])
+
+    rows = texts.select("node", "t").mapInArrow(run, "node long, n long, h long").repartition("h")
+    # all columns are asked for, so that both sides of the join read one exchange
+    common = rows.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("high")).where("low.node < high AND low.n > 0")
+    lists = rows.join(common.select("h", "c"), "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("l"))
+    length = F.expr(f"n - cast(ceil({least} * n - 1e-9) as bigint) + 1 - (n - size(l))")
+    return lists.select("node", "n", F.explode(F.slice("l", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("x")).select("x.h", "node", "n")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5, near: int = 3) -> DataFrame:
     """One row (key, component_id) for each row of ``docs``; a component joins all pairs of Jaccard ``least`` or more.
 
-    Sets of ``shingle`` words meet where their prefixes share a shingle. First each is compared with the smallest key
-    of its bucket, which takes most near copies together in as many comparisons as there are rows; then all pairs of
-    a bucket that are still apart are. Sketches leave out candidates that share too few in any case; every other is
+    First come the pairs that SimHash fingerprints of the sets, linked within ``near`` bits by the vantage-point trees
+    of ``simhash``, propose. No radius that a tree can prune holds all pairs of that similarity, so an exact join
+    completes them: sets of ``shingle`` words meet where their prefixes share a shingle. Each is compared with the
+    smallest key of its bucket, which takes the groups of near copies together; then the pairs of a bucket that are
+    still apart are. The texts of buckets of over ``DEEP`` rows are ordered anew by true document frequencies, where
+    what many texts share comes last. Sketches leave out candidates that share too few in any case; every other is
     compared by its whole set, so no pair is lost and none is wrong.
 
     Equal sets are one node. A null or blank text has no shingle and is like others of its kind alone. A row with a
-    null key has a null component; rows that repeat a key are one document. Other columns are not read.
+    null key has a null component; rows that repeat a key are one document. An empty table gives no rows. Other
+    columns are not read.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), utf8(text).alias("t"))
@@ -129,31 +241,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             firsts = [prefix(s, least, common, counts).view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, firsts)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), lists], ["node", "digest", "n", "sketch", "firsts"])
-
-    sets = cut(texts.select("node", "t").mapInArrow(run, "node long, digest binary, n long, sketch binary, firsts array<long>"))
-    heads = cut(sets.groupBy("digest").agg(F.min("node").alias("head")))
+            prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            digests = pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(prints), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), lists], ["node", "digest", "fingerprint", "n", "sketch", "firsts"])
+
+    sets = cut(texts.select("node", "t").mapInArrow(run, "node long, digest binary, fingerprint long, n long, sketch binary, firsts array<long>"))
+    heads = cut(sets.groupBy("digest").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.min("fingerprint").alias("fingerprint")))
+    # copies, but for nodes that are the head of another set
+    copies = sets.select("node").join(heads.select(F.col("head").alias("node")), "node", "left_anti").distinct()
+    first = chosen(sets, copies, "left_anti")
     # a key with several sets links their heads
     repeated = sets.groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("node")
     own = sets.join(repeated, "node", "left_semi").join(heads, "digest").select(F.col("node").alias("u"), F.col("head").alias("v"))
 
-    rows = sets.join(heads.withColumnRenamed("head", "node"), ["digest", "node"]).select("node", "n", F.explode("firsts").alias("h")).repartition("h")
+    points = cut(heads.groupBy("fingerprint").agg(F.min("head").alias("node")))
+    proposed = heads.join(points, "fingerprint").where("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v")).unionByName(links(points, near))
+
+    rows = first.select("node", "n", F.explode("firsts").alias("h")).repartition("h")
     centres = rows.groupBy("h").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("last")).where("c.node < last").select("h", F.col("c.node").alias("centre"), F.col("c.n").alias("m"))
     shared = cut(rows.join(centres, "h"))
-    fits = lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9
-    tried = cut(shared.where((F.col("node") != F.col("centre")) & fits("n", "m")).select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
-    linked = cut(similar(tried, sets, texts, least, shingle).unionByName(own))
-    found = components(linked)
-
-    placed = shared.select("h", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = placed.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("h")
-    left = cut(placed.join(apart, "h", "left_semi"))
-    right = left.select("h", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"))
-    meet = left.join(right, "h").where((F.col("node") > F.col("other")) & (F.col("component") != F.col("theirs")) & fits("n", "m"))
-    more = meet.select(F.col("node").alias("u"), F.col("other").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    linked = linked.unionByName(similar(more, sets, texts, least, shingle))
+    near_centre = shared.where((F.col("node") != F.col("centre")) & _fits("n", "m", least)).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    tried = cut(proposed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(near_centre).distinct())
+    linked = cut(similar(likely(tried, sets, least), texts, least, shingle).unionByName(own))
+    found = cut(components(linked))
+
+    left = cut(apart(shared.select("h", "node", "n"), found))
+    more = compared(left.where(F.col("size") <= DEEP), sets, least)
+    wide = left.where(F.col("size") > DEEP).select("node").distinct()
+    again = cut(apart(by_frequency(chosen(texts, wide), least, shingle), found))
+    more = more.unionByName(compared(again, sets, least)).distinct().join(tried, ["u", "v"], "left_anti")
+    linked = linked.unionByName(similar(more, texts, least, shingle))
 
     named = heads.join(components(linked).withColumnRenamed("node", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component_id"))
-    out = sets.join(named, "digest").select("node", "component_id")
+    out = sets.select("node", "digest").join(named, "digest").select("node", "component_id")
     lost = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(lost).withColumnRenamed("node", key)
+
+
+def _fits(a: str, b: str, least: float) -> Column:
+    return F.least(a, b) >= least * F.greatest(a, b) - 1e-9

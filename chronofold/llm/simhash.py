@@ -61,6 +61,11 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of a set of 64-bit hashes; 0 for none."""
+    return int(np.packbits(2 * bit_counts(hashes) > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """Rows (key, fingerprint long) for every row of ``docs``; a null text counts as empty, a null key stays null."""
     bounded_batches(docs.sparkSession)

@@ -6,13 +6,17 @@ import uuid
 from collections.abc import Callable
 
 from chronofold.llm import jaccard, mixing, packing, quality
-from chronofold.llm._common import bounded_batches, fresh
+from chronofold.llm._common import bounded_batches, cut, fresh
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier scores 0.5 or more."""
+    """The documents that the classifier scores 0.5 or more.
+
+    A null text is scored as an empty one; equal texts score alike, so repeated rows stay or go together; a row without
+    an id is scored like any other and teaches nothing. Without labels all stay or all go. Empty tables give no rows.
+    """
     net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     to = fresh(docs, "score")
     return quality.scored(docs, net, to=to).where(F.col(to) >= 0.5).drop(to)
@@ -21,22 +25,35 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; rows without an id stay.
 
-    Near duplicates have a Jaccard similarity of 0.8 or more over five-word shingles. Of rows that repeat an id one
-    stays, whichever comes first.
+    Near duplicates have a Jaccard similarity of 0.8 or more over five-word shingles: operator 4's fingerprints and
+    vantage-point trees propose pairs, and an exact join completes them. Null and blank texts are one group. Of rows
+    that repeat an id the least by its other columns, in their order, stays. Empty tables give no rows.
     """
-    found = jaccard.near_duplicates(docs, least=0.8, shingle=5)
-    other = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(other, "doc_id", "left_anti").select(docs.columns)
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    found = cut(jaccard.near_duplicates(docs, least=0.8, shingle=5).where("doc_id IS NOT NULL"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("node")).distinct()
+    twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("node"))
+    node = fresh(docs, "node_id")
+    kept = jaccard.chosen(docs.withColumn(node, F.col("doc_id").cast("long")), gone, "left_anti", node)
+    rest = [c for c in docs.columns if c != "doc_id"]
+    once = jaccard.chosen(kept, twice, "left_anti", node).select(docs.columns)
+    least = jaccard.chosen(kept, twice, "left_semi", node).groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    return once.unionByName(least.select("doc_id", *(F.col("row")[c].alias(c) for c in rest)).select(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, each as often as the mixture uses it."""
+    """The documents, each as often as the mixture uses it.
+
+    A null source is a source of its own; null and empty texts have no words and take no part of a budget; repeated
+    rows are used each. Empty tables give no rows.
+    """
     return mixing.realise(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences with their ids, and a check sum of these beside them."""
+    """The pieces of the packed sequences with their ids, and a check sum of these beside them.
+
+    A null or empty text is its end id alone; repeated rows are packed as often as they come; a null id stays null.
+    """
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 

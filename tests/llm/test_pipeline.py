@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from chronofold.llm import mixing, quality
 
-from tests.llm.test_simhash import brute
+from tests.llm.test_jaccard import brute
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +56,7 @@ def test_stages_match_plain_versions(spark, folder, tmp_path, monkeypatch):
     assert sorted(second, key=str) == sorted((r for r in first if good(r[1])), key=str)
     assert 0 < len(second) < len(first)
 
-    kept = {k for k, _, c in brute([(r[0], r[1]) for r in second]) if k == c}
+    kept = {k for k, c in brute([(r[0], r[1]) for r in second]).items() if k == c}
     assert {r[0] for r in third} == kept | ({None} if any(r[0] is None for r in second) else set())
     assert set(third) <= set(second) and len({r[0] for r in third}) == len(third) < len(second)
 
