@@ -131,55 +131,56 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> D
 def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
     """The ``rows`` (h, node, n) of buckets h that hold several components, with component and the bucket's size.
 
-    Of buckets with the same nodes one stays: shingles of a passage name the same documents over and over.
+    ``base`` is the bucket's largest component, and ``others`` counts the rows outside it. Of buckets with the same
+    nodes one stays: shingles of a passage name the same documents over and over.
     """
     placed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mark = lambda k: F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)"))
-    buckets = placed.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"), mark(1).alias("x"), mark(2).alias("y")).where("a < b")
-    return placed.join(buckets.groupBy("size", "x", "y").agg(F.min("h").alias("h")).select("h", "size"), "h").select("h", "node", "n", "component", "size")
+    parts = placed.groupBy("h", "component").agg(F.count("*").alias("m"), mark(1).alias("x"), mark(2).alias("y"))
+    buckets = parts.groupBy("h").agg(F.max(F.struct("m", "component")).alias("base"), F.sum("m").alias("size"), F.count("*").alias("many"), F.sum("x").alias("x"), F.sum("y").alias("y")).where("many > 1")
+    kept = buckets.groupBy("size", "x", "y").agg(F.min(F.struct("h", "base")).alias("b")).select("b.h", "b.base.component", "size", (F.col("size") - F.col("b.base.m")).alias("others"))
+    return placed.join(kept.withColumnRenamed("component", "base"), "h").select("h", "node", "n", "component", "size", "base", "others")
 
 
 def compared(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) of a bucket's ``rows`` (h, node, n, component, size) that are apart and that sizes and sketches leave open.
+    """Pairs (u, v) of a bucket's ``rows`` that are apart and that sizes and sketches leave open; ``rows`` as ``apart`` gives them.
 
-    A bucket is cut into blocks of about ``WIDE`` rows; a task compares two blocks at a time and returns only likely
-    pairs, so no bucket is ever held whole and no pairs of it are written out.
+    The rows outside a bucket's largest component lead in blocks of about ``WIDE``: a task holds one block and lets the
+    bucket's rows pass by it. So what is copied grows with the rows outside, no bucket is held whole, and only likely
+    pairs are returned.
     """
 
-    def group(h, i, j, node, n, component, block, marks) -> tuple[np.ndarray, np.ndarray]:
-        other = (component[:, None] != component[None, :]) & (node[:, None] < node[None, :])
-        if i != j:
-            other &= block[:, None] != block[None, :]
-        a, b = np.nonzero(other & (np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]) - 1e-9))
-        good = may_reach(list(marks), a, b, n[a], n[b], least)
-        return node[b[good]], node[a[good]]
+    def met(leads: list[np.ndarray], others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        (node, n, component, marks), (node2, n2, component2, marks2) = leads, others
+        fine = (component[:, None] != component2[None, :]) & (np.minimum(n[:, None], n2[None, :]) >= least * np.maximum(n[:, None], n2[None, :]) - 1e-9)
+        a, b = np.nonzero(fine)
+        good = may_reach([*marks, *marks2], a, b + len(marks), n[a], n2[b], least)
+        return node[a[good]], node2[b[good]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def pairs_of(columns: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
-            out = [group(*(c[s] for c in columns[:3]), *(c[s:e] for c in columns[3:])) for s, e in zip([0, *ends], ends, strict=False)]
-            u, v = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
+        key, leads = None, []
         for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in range(7)] + [np.array([*batch.column(7).to_pylist(), None], object)[:-1]]
-            if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-            if not len(columns[0]):
+            if not batch.num_rows:
                 continue
-            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
-            at = int(new[-1]) if len(new) else 0
-            yield pairs_of([c[:at] for c in columns], [int(k) for k in new])
-            rest = [c[at:] for c in columns]
-        if rest is not None and len(rest[0]):
-            yield pairs_of(rest, [len(rest[0])])
-
-    blocks = F.ceil(F.col("size") / WIDE).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("h", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "n", "component", "block")
-    marked = dealt.join(sets.select("node", "sketch"), "node").select("h", "i", "j", "node", "n", "component", "block", "sketch")
-    return marked.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "u long, v long").distinct()
+            h, block, lead, *columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            columns.append(np.array([*batch.column(6).to_pylist(), None], object)[:-1])
+            starts = [0, *(np.flatnonzero((h[1:] != h[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(h)]
+            out = []
+            for s, e in zip(starts, starts[1:], strict=False):
+                own = [c[s:e] for c in columns]
+                if key != (h[s], block[s]):
+                    key, leads = (h[s], block[s]), [c[:0] for c in own]
+                leads = [np.concatenate([x, c[lead[s:e]]]) for x, c in zip(leads, own, strict=True)]
+                out.append(met(leads, own))
+            u, v = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64())], ["u", "v"])
+
+    blocks = F.ceil(F.col("others") / WIDE).cast("int")
+    own = F.when(F.col("component") != F.col("base"), F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = rows.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("h", "block", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("lead"), "node", "n", "component")
+    marked = dealt.join(sets.select("node", "sketch"), "node").select("h", "block", "lead", "node", "n", "component", "sketch")
+    return marked.repartition("h", "block").sortWithinPartitions("h", "block", F.desc("lead")).mapInArrow(run, "u long, v long").distinct()
 
 
 def by_frequency(texts: DataFrame, least: float, shingle: int) -> DataFrame:
