@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,31 +25,48 @@ WORDS, SLICE = 250_000, 1 << 20
 END_ID = 1
 
 
-def default_vocabulary() -> str:
-    """The rank file of the 50k byte-level vocabulary; its ids are those of the JSON file beside it."""
+def default_vocabulary() -> tuple[str, str]:
+    """The rank file of the 50k byte-level vocabulary, and the JSON file whose ids these are and that names its added tokens."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Encoder:
-    """Byte-level BPE that remembers words.
+    """Byte-level BPE that remembers words; a text's ids are those of the JSON tokenizer.
 
-    The splitting pattern never joins a blank that follows a non-space to what stands before it, and a piece never
-    crosses such a blank if the next character is no space either. So a text falls apart at these blanks into words
-    with the same ids as in the whole text. A text with any other blank beside white space is encoded whole.
+    The JSON file's added tokens are cut out of a text first, wherever their strings stand; what is between them is
+    encoded by itself. The splitting pattern never joins a blank that follows a non-space to what stands before it, and
+    a piece never crosses such a blank if the next character is no space either. So a text falls apart at these blanks
+    into words with the same ids as in the whole text. A text with any other blank beside white space is encoded whole.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, ranks: str, tokenizer: str):
         from public_tokenizers import PATTERN
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-        self.coder = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(ranks, "rb") as lines:
+            known = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+        with open(tokenizer, encoding="utf-8") as source:
+            added = json.load(source)["added_tokens"]
+        if any(token[rule] for token in added for rule in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that look at their neighbours are not known here")
+        self.added = {token["content"]: int(token["id"]).to_bytes(4, "little") for token in added}
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if added else None
+        self.coder = tiktoken.Encoding(os.path.basename(ranks), pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
         self.first, self.inner = _Words(self.coder, ""), _Words(self.coder, " ")
 
     def ids(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers; strings of special tokens are ordinary text."""
+        """The ids of a text as little-endian unsigned 32-bit numbers; an added token's string is that token."""
+        found = self.cut.search(text) if self.cut else None
+        if not found:
+            return self._plain(text)
+        out, at = [], 0
+        for found in self.cut.finditer(text):
+            out += [self._plain(text[at : found.start()]), self.added[found.group()]]
+            at = found.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
         out, at = [], 0
         while True:
             end = _cut(text, at + SLICE)
@@ -124,10 +143,10 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
     return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, vocabulary: str | None = None, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, vocabulary: tuple[str, str] | None = None, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> DataFrame:
     """One row for each piece: key, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit), cost.
 
     A document's tokens are its ids and ``END_ID``; each lies in exactly one piece. Documents are packed where they
@@ -143,7 +162,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _encoders:
-            _encoders[vocabulary] = Encoder(vocabulary)
+            _encoders[vocabulary] = Encoder(*vocabulary)
         encode, end = _encoders[vocabulary].ids, END_ID.to_bytes(4, "little")
         held: list[bytes] = []
         keys: list = []

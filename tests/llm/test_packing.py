@@ -12,14 +12,12 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, le
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
 def encoder():
-    return packing.Encoder(packing.default_vocabulary())
+    return packing.Encoder(*packing.default_vocabulary())
 
 
 def texts(n=400, seed=4):
@@ -36,9 +34,50 @@ def test_ids_are_the_tokenizers(tokenizer, encoder, monkeypatch):
         assert list(np.frombuffer(encoder.ids(text), "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_in_random_texts(tokenizer, encoder):
+    rng = random.Random(12)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " ", "  ", "a", "word", "\n", "'s", "é", "9", "\t", "<"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(20_000)]
+    for text, want in zip(made, tokenizer.encode_batch(made, add_special_tokens=False), strict=True):
+        assert list(np.frombuffer(encoder.ids(text), "<u4")) == want.ids, repr(text)
+    assert 50256 in np.frombuffer(encoder.ids("a <|endoftext|> b"), "<u4")
+
+
+def plain_greedy(lengths, capacity, linear, quadratic):
+    """The same rule, one sequence after another in plain Python."""
+    out, used = [], 0
+    rest = []
+    for k, n in enumerate(lengths):
+        for s in range(0, n // capacity * capacity, capacity):
+            out.append((k, s, capacity, used, 0))
+            used += 1
+        rest.append((-(n % capacity), k, n // capacity * capacity))
+    bins = [[0.0, capacity] for _ in range(-(-sum(-r[0] for r in rest) // capacity))]
+    for left, k, at in sorted(rest):
+        left = -left
+        while left:
+            fit = [(cost, i) for i, (cost, room) in enumerate(bins) if room >= left]
+            i = min(fit)[1] if fit else max(range(len(bins)), key=lambda j: (bins[j][1], -j))
+            take = min(left, bins[i][1])
+            out.append((k, at, take, used + i, capacity - bins[i][1]))
+            bins[i][0] += linear * take + quadratic * take * take
+            bins[i][1] -= take
+            left, at = left - take, at + take
+    return out
+
+
+def test_assignment_is_the_plain_greedy():
+    for seed in range(25):
+        rng = np.random.default_rng(seed)
+        lengths = [int(n) for n in rng.integers(1, rng.choice([40, 300, 3000]), rng.integers(1, 120))]
+        quadratic = float(rng.choice([0.0, 1 / 2048, 1.0]))
+        capacity = int(rng.choice([64, 256, 2048]))
+        assert [tuple(map(int, p)) for p in packing.assign(np.array(lengths), capacity, 1.0, quadratic)] == plain_greedy(lengths, capacity, 1.0, quadratic)
+
+
 def test_words_are_forgotten_in_time(encoder, monkeypatch):
     monkeypatch.setattr(packing, "WORDS", 3)
-    made = packing.Encoder(packing.default_vocabulary())
+    made = packing.Encoder(*packing.default_vocabulary())
     for text in texts(50):
         assert made.ids(text) == encoder.ids(text)
     assert len(made.inner) <= 3

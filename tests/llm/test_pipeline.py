@@ -70,7 +70,7 @@ def test_stages_match_plain_versions(spark, folder, tmp_path, monkeypatch):
 
     from chronofold.llm import packing
 
-    encoder = packing.Encoder(packing.default_vocabulary())
+    encoder = packing.Encoder(*packing.default_vocabulary())
     tokens = sum(len(encoder.ids(r[1] or "")) // 4 + 1 for r in fourth)
     pieces = docs.toPandas()
     assert pieces.length.sum() == tokens and (pieces.groupby("sequence_id").length.sum() <= 2048).all()
