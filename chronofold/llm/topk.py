@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm._common import cut, fresh
+from chronofold.llm._common import bounded_batches, cut, fresh
 
-#: Candidates of a block with its sorted lists, and queries that visit it together.
-BLOCK, QUERIES = 4096, 2048
-#: Places of every list that are read before a block's first look at the bound.
+#: Rows of a block with its sorted lists, queries of a group, and bytes of vectors from which either is closed.
+BLOCK, QUERIES, BYTES = 4096, 2048, 4 << 20
+#: Query groups that are broadcast at a time, which bounds a broadcast to so many times ``BYTES``.
+GROUPS = 16
+#: Places of every list that are read before the first look at the bound.
 FIRST_DEPTH = 4
 
 
@@ -19,7 +23,7 @@ class Lists:
     """A block's vectors, with one list of its rows for each dimension, sorted by that component.
 
     A list read from the front falls, read from the back it rises: a query takes each from the end where its own
-    component's sign makes the products largest.
+    component's sign makes the products largest. ``scored`` counts the rows whose scores were computed.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
@@ -27,51 +31,53 @@ class Lists:
         self.ids, self.vectors = ids[by_id], vectors[by_id]
         self.order = np.argsort(-self.vectors, axis=0, kind="stable").astype(np.int32)
         self.falling = np.take_along_axis(self.vectors, self.order, axis=0)
+        self.scored = 0
 
-    def top(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the best ``k`` rows but ``own``, best first, ties to the smaller id; only those of ``floor`` or more.
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, id, score) of the best ``k`` rows for each query but its own; only scores of its floor or more.
 
-        Rows are scored when a list first shows them. The bound is what a row that no list has shown could score at
-        most; the search ends when that is below the kth score so far, or below ``floor``.
+        A query's floor is its kth result so far. All lists are read to the same depth; what no list has shown by then
+        scores no more than the bound, the sum of the products at that depth. A query ends at the first depth where the
+        bound is below its floor, and only the rows shown by then are scored. Queries whose bound never falls score all
+        rows at once.
         """
-        n, many = len(self.ids), len(query)
-        up = query >= 0
-        unseen = np.ones(n, bool)
-        scores, rows = np.zeros(0, query.dtype), np.zeros(0, np.int64)
-        depth, dimensions = 0, np.flatnonzero(query)
-        step = FIRST_DEPTH
-        while depth < n:
-            to = min(n, depth + step)
-            front, back = dimensions[up[dimensions]], dimensions[~up[dimensions]]
-            shown = np.zeros(n, bool)
-            shown[self.order[depth:to, front].ravel()] = True
-            shown[self.order[n - to : n - depth, back].ravel()] = True
-            if not many or not len(dimensions):
-                shown[:] = True  # every row scores nothing
-            new = np.flatnonzero(shown & unseen)
-            unseen[new] = False
-            value = self.vectors[new] @ query if len(new) else np.zeros(0, query.dtype)
-            keep = (self.ids[new] != own) & (value >= floor)
-            scores, rows = np.concatenate([scores, value[keep]]), np.concatenate([rows, new[keep]])
-            if len(rows) > k:
-                best = np.lexsort((rows, -scores))[:k]
-                scores, rows = scores[best], rows[best]
-            kth = scores.min() if len(rows) == k else -np.inf
-            bound = query[front] @ self.falling[to - 1, front] + query[back] @ self.falling[n - to, back]
-            if bound < max(kth, floor) or not unseen.any():
-                break
-            depth, step = to, step * 2
-        best = np.lexsort((rows, -scores))
-        return scores[best], self.ids[rows[best]]
-
-
-def exact(vectors: list[np.ndarray]) -> np.ndarray:
-    """Rows of whole numbers in the smallest type in which their products and sums are exact: float, double or 64 bits."""
-    held = np.stack(vectors)
-    reach = max(1, held.shape[1]) * max((abs(int(f(held))) for f in (np.min, np.max)), default=0) ** 2 if held.size else 0
+        n = len(self.vectors)
+        out, active = [], np.arange(len(queries))
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        depth = FIRST_DEPTH
+        while len(active) and depth < n:
+            bound = up[active] @ self.falling[depth - 1] + down[active] @ self.falling[n - depth]
+            ended = bound < floors[active]
+            for q in active[ended]:
+                shown = np.zeros(n, bool)
+                shown[self.order[:depth, queries[q] > 0]] = True
+                shown[self.order[n - depth :, queries[q] < 0]] = True
+                out.append(self._best(np.array([q]), np.flatnonzero(shown), queries, own, k, floors))
+            active, depth = active[~ended], depth * 2
+        every = np.arange(n)
+        for at in range(0, len(active), 256):
+            out.append(self._best(active[at : at + 256], every, queries, own, k, floors))
+        return tuple(np.concatenate([x[j] for x in out]) if out else np.zeros(0, np.int64) for j in range(3))
+
+    def _best(self, some: np.ndarray, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.scored += len(some) * len(rows)
+        scores = queries[some] @ self.vectors[rows].T
+        fine = (scores >= floors[some][:, None]) & (self.ids[rows][None, :] != own[some][:, None])
+        q, r = np.nonzero(fine)
+        value = scores[q, r]
+        order = np.lexsort((r, -value, q))  # rows are by id, so ties go to the smaller
+        q, r, value = q[order], r[order], value[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < k
+        return some[q[keep]], self.ids[rows[r[keep]]], value[keep]
+
+
+def exact(*vectors: np.ndarray) -> list[np.ndarray]:
+    """Whole numbers in the smallest type in which their products and sums are exact: float, double or 64 bits."""
+    reach = max((max(abs(int(x.min())), abs(int(x.max()))) for x in vectors if x.size), default=0) ** 2 * max(1, vectors[0].shape[1])
     if reach >= 1 << 63:
         raise OverflowError("a score may not fit into 64 bits")
-    return held.astype(np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64)
+    return [x.astype(np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64) for x in vectors]
 
 
 def whole(vector: Column, scale: int = 256) -> Column:
@@ -80,51 +86,99 @@ def whole(vector: Column, scale: int = 256) -> Column:
     return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
+PACKED = "n int, ids binary, vectors binary, floors binary"
+
+
+def packed(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, v) as rows (n, ids, vectors, floors) of up to ``size`` vectors of n components each; the floors are open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+
+        def emit(n: int) -> pa.RecordBatch:
+            own = held.pop(n)
+            ids, vectors = np.array([k for k, _ in own], "<i8"), np.stack([v for _, v in own])
+            parts = [ids.tobytes(), vectors.astype("<i8").tobytes(), np.full(len(own), -np.inf).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([x], pa.binary()) for x in parts)], ["n", "ids", "vectors", "floors"])
+
+        for batch in batches:
+            values, at = batch.column(1).values.to_numpy(zero_copy_only=False), batch.column(1).offsets.to_numpy()
+            for k, start, end in zip(batch.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+                n = int(end - start)
+                held.setdefault(n, []).append((k, values[start:end]))
+                if len(held[n]) >= size or len(held[n]) * n * 8 >= BYTES:
+                    yield emit(n)
+        for n in list(held):
+            yield emit(n)
+
+    return rows.select("id", "v").mapInArrow(run, PACKED)
+
+
+def _unpacked(batch: pa.RecordBatch, row: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, vectors, floors = (np.frombuffer(batch.column(first + j)[row].as_py(), kind) for j, kind in enumerate(("<i8", "<i8", "<f8")))
+    return ids, vectors.reshape(len(ids), batch.column(0)[row].as_py()), floors
+
+
 def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """The ``k`` rows of the highest integer inner products with each query row: query_id, rank, vec_id, score.
 
-    ``vectors`` is dealt out by a hash of the key into blocks of about ``BLOCK`` candidates, and the queries into
-    groups of about ``QUERIES``; every group meets every block once. First each query searches one block alone; its
-    kth score there is a floor for the others, where the search mostly ends early. A block returns ``k`` rows a query
-    at most, and the last aggregate keeps ``k`` of them by partial heaps.
+    Rows are packed where they are into blocks of up to ``BLOCK``, queries into groups of up to ``QUERIES``; neither is
+    shuffled. First the groups search one block drawn from all rows: a query's kth score there is its floor, below
+    which the search of every block ends. Then ``GROUPS`` groups at a time are broadcast to the blocks. A block returns
+    ``k`` rows a query at most, and the rank keeps ``k`` a task before anything is shuffled. Every query still meets
+    every block, as an exact search must where the bound does not fall; what grows with rows times queries is
+    arithmetic and the reading of blocks, once for ``GROUPS`` groups.
 
     Keys name rows: of rows that repeat one, the smallest vector counts. Vectors meet only those of their length.
     Null keys, and vectors that are null or hold a null or non-finite component, take no part; a vector of no
     components scores nothing. Ties go to the smaller key. Other columns are not read. An empty table gives no rows.
     """
+    bounded_batches(vectors.sparkSession)
     q = fresh(vectors, "is_query")
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), whole(F.col(vector)).alias("v"), F.coalesce(is_query, F.lit(False)).alias(q))
-    rows = rows.where("v IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"), F.max(q).alias("q"))
-    rows = cut(rows.withColumn("n", F.size("v")))
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
-    blocks, groups = max(1, -(-sizes["n"] // BLOCK)), max(1, -(-sizes["q"] // QUERIES))
-    block, group = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")
-    held = rows.select("n", block.alias("block"), "id", "v")
-    # columns of their own, so that both sides of a pairing can come from the same rows
-    asked = rows.where("q").select(*(F.col(c).alias(c) for c in ("n", "id", "v")), block.alias("block"), group.alias("group"))
-    schema = "query_id long, vec_id long, score long"
-
-    def visit(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        both = exact([np.asarray(v, np.int64) for v in own["v"]] + [np.asarray(v, np.int64) for v in queries["v"]])
-        lists, out = Lists(own["id"].to_numpy(np.int64), both[: len(own)]), []
-        floors = queries["floor"].to_numpy(np.float64) if "floor" in queries else np.full(len(queries), np.nan)
-        for query, own_id, floor in zip(both[len(own) :], queries["id"].to_numpy(np.int64), floors, strict=True):
-            scores, ids = lists.top(query, own_id, k, -np.inf if np.isnan(floor) else floor)
-            out.append((np.full(len(ids), own_id), ids, scores.astype(np.int64)))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    # each query in the block that its own key falls into
-    home = cut(held.groupBy("n", "block").cogroup(asked.groupBy("n", "block")).applyInPandas(visit, schema))
-    # a floor of doubles would not be exact beyond 2**53: there the search goes without one
-    floors = home.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("m")).where(f"m = {k} AND abs(floor) < {1 << 53}").select(F.col("query_id").alias("id"), F.col("floor").cast("double").alias("floor"))
-    others = asked.join(floors, "id", "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("to <> block").select("n", F.col("to").alias("block"), "group", "id", "v", "floor")
-    copies = held.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    away = copies.groupBy("n", "block", "group").cogroup(others.groupBy("n", "block", "group")).applyInPandas(visit, schema)
-    every = home.unionByName(away).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("id")))).alias("best"))
-    ranked = every.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("at", "x"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    rows = cut(rows.where("v IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"), F.max(q).alias("q")))
+    blocks = cut(packed(rows, BLOCK))
+    probe = packed(rows.orderBy(F.xxhash64("id"), "id").limit(BLOCK).coalesce(1), BLOCK).select("n", F.col("ids").alias("i"), F.col("vectors").alias("w"), F.col("floors").alias("f"))
+
+    def floors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                ids, asked, floors = _unpacked(batch, row, 1)
+                if batch.column(4)[row].is_valid:
+                    theirs, held, _ = _unpacked(batch, row, 4)
+                    asked, held = exact(asked, held)
+                    place, _, score = Lists(theirs, held).top(asked, ids, k, floors)
+                    # a floor of doubles would not be exact beyond 2**53: there the search goes without one
+                    full = (np.bincount(place, minlength=len(ids)) == k) & (np.abs(score).max(initial=0) < 1 << 53)
+                    floors = np.where(full, np.inf, -np.inf)
+                    np.minimum.at(floors, place[full[place]], score[full[place]].astype(np.float64))
+                found.append(floors.astype("<f8").tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(3)), pa.array(found, pa.binary())], ["n", "ids", "vectors", "floors"])
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, last = None, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, held, _ = _unpacked(batch, row, 1)
+                theirs, asked, floors = _unpacked(batch, row, 4)
+                held, asked = exact(held, asked)
+                here = (batch.column(1)[row].as_py(), held.dtype)
+                if here != last:  # a block's groups follow each other
+                    lists, last = Lists(ids, held), here
+                place, found, score = lists.top(asked, theirs, k, floors)
+                yield pa.RecordBatch.from_arrays([pa.array(theirs[place]), pa.array(found, pa.int64()), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
+
+    opened = packed(rows.where("q"), QUERIES).join(F.broadcast(probe), "n", "left").select("n", "ids", "vectors", "floors", "i", "w", "f")
+    groups = cut(opened.mapInArrow(floors_of, PACKED).select("n", F.col("ids").alias("i"), F.col("vectors").alias("w"), F.col("floors").alias("f")))
+    turns = max(1, -(-groups.count() // GROUPS))
+    turn = F.pmod(F.xxhash64("i"), F.lit(turns))
+    met = [blocks.join(F.broadcast(groups.where(turn == t)), "n").select("n", "ids", "vectors", "floors", "i", "w", "f").mapInArrow(visit, "query_id long, vec_id long, score long") for t in range(turns)]
+    every = met[0]
+    for more in met[1:]:
+        every = every.unionByName(more)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The query over the view ``embeddings``: vectors by 256, queries by 50, five rows each.

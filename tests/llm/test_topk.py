@@ -45,25 +45,38 @@ def test_odd_rows(spark):
 
 
 def test_exact_type_follows_the_reach():
-    assert topk.exact([np.array([100, -100])]).dtype == np.float32
-    assert topk.exact([np.array([1 << 20, 1])]).dtype == np.float64
-    assert topk.exact([np.array([1 << 29, 1])]).dtype == np.int64
+    assert topk.exact(np.array([[100, -100]]))[0].dtype == np.float32
+    assert topk.exact(np.array([[1 << 20, 1]]))[0].dtype == np.float64
+    assert topk.exact(np.array([[1 << 29, 1]]), np.array([[1, 1]]))[0].dtype == np.int64
     with pytest.raises(OverflowError):
-        topk.exact([np.array([1 << 40, 1])])
+        topk.exact(np.array([[1 << 40, 1]]))
 
 
-def test_search_stops_early():
-    # rising steps: the first places of each list settle the result
-    vectors = np.arange(20_000, dtype=np.float64)[:, None] * np.ones((1, 4))
-    lists = topk.Lists(np.arange(20_000), vectors)
-    seen = []
-    held = lists.vectors
+def best_of(vectors, query, own, k):
+    scored = sorted((-int(v @ query), i) for i, v in enumerate(vectors) if i != own)[:k]
+    return [(i, -s) for s, i in scored]
 
-    class Counted(np.ndarray):
-        def __getitem__(self, at):
-            seen.append(len(at) if isinstance(at, np.ndarray) else 0)
-            return np.asarray(held[at])
 
-    lists.vectors = held.view(Counted)
-    scores, ids = lists.top(np.ones(4), -1, 3, -np.inf)
-    assert list(ids) == [19_999, 19_998, 19_997] and sum(seen) < 50
+@pytest.mark.parametrize("shape", ["sparse", "few heavy dimensions", "even"])
+def test_lists_are_exact_and_stop(shape):
+    """Scored shares: the lists stop where few components are large, and never on even random vectors of 64 dimensions."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(0, 40, (4000, 64))
+    if shape == "sparse":
+        vectors = np.abs(vectors) ** 2 * (rng.random((4000, 64)) < 0.06)
+    if shape == "few heavy dimensions":
+        vectors *= np.where(np.arange(64) < 2, 60, 0.05)
+    vectors = np.floor(vectors)
+    lists = topk.Lists(np.arange(4000), vectors)
+    queries, own = vectors[::100], np.arange(0, 4000, 100)
+    want = [best_of(vectors, q, o, 5) for q, o in zip(queries, own, strict=True)]
+    floors = np.array([w[-1][1] for w in want], float)
+    place, ids, scores = lists.top(queries, own, 5, floors)
+    got = [[] for _ in own]
+    for p, i, s in zip(place, ids, scores, strict=True):
+        got[p].append((int(i), int(s)))
+    assert got == want
+    share = lists.scored / (len(queries) * len(vectors))
+    assert share == 1 if shape == "even" else share < 0.5, share
+    # floors that say nothing give the same
+    assert [int(i) for i in lists.top(queries, own, 5, np.full(40, -np.inf))[1]] == [i for w in want for i, _ in w]
