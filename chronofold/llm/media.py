@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,17 +68,22 @@ def adpcm_blocks(codes: np.ndarray, predictor: np.ndarray, index: np.ndarray) ->
     return np.ascontiguousarray(out.T)
 
 
-def wav(codec: str, data: bytes, rate: int = RATE, align: int = 1, samples: int | None = None) -> bytes:
-    """A WAV file of one channel; ``data`` are the codec's bytes (ADPCM: whole blocks of ``align`` bytes)."""
+def wav_head(codec: str, size: int, rate: int = RATE, align: int = 1, samples: int | None = None) -> bytes:
+    """What stands before ``size`` bytes of data in a WAV file of one channel."""
     if codec == "adpcm":
         per = 2 * (align - 4) + 1
         fmt = struct.pack("<HHIIHHHH", TAGS[codec], 1, rate, rate * align // per, align, 4, 2, per)
     else:
         width = 2 if codec == "pcm" else 1
         fmt = struct.pack("<HHIIHHH", TAGS[codec], 1, rate, rate * width, width, 8 * width, 0)
-    samples = samples if samples is not None else len(data) // (2 if codec == "pcm" else 1)
-    chunks = b"".join(k + struct.pack("<I", len(v)) + v + b"\0" * (len(v) % 2) for k, v in ((b"fmt ", fmt), (b"fact", struct.pack("<I", samples)), (b"data", data)))
-    return b"RIFF" + struct.pack("<I", len(chunks) + 4) + b"WAVE" + chunks
+    samples = samples if samples is not None else size // (2 if codec == "pcm" else 1)
+    chunks = b"".join(k + struct.pack("<I", len(v)) + v + b"\0" * (len(v) % 2) for k, v in ((b"fmt ", fmt), (b"fact", struct.pack("<I", samples))))
+    return b"RIFF" + struct.pack("<I", len(chunks) + 12 + size + size % 2) + b"WAVE" + chunks + b"data" + struct.pack("<I", size)
+
+
+def wav(codec: str, data: bytes, rate: int = RATE, align: int = 1, samples: int | None = None) -> bytes:
+    """A WAV file of one channel; ``data`` are the codec's bytes (ADPCM: whole blocks of ``align`` bytes)."""
+    return b"".join((wav_head(codec, len(data), rate, align, samples), data, b"\0" * (len(data) % 2)))
 
 
 def read_wav(media: bytes) -> tuple[str, int, int, bytes]:
@@ -105,17 +110,31 @@ def read_wav(media: bytes) -> tuple[str, int, int, bytes]:
     return names[tag], rate, align, data
 
 
+#: Bytes of a file that are expanded at a time.
+PART = 1 << 20
+
+
+def expanded(codec: str, align: int, data: bytes) -> Iterator[np.ndarray]:
+    """A file's PCM as int16, part by part, so that what is held does not follow the file's length."""
+    raw = np.frombuffer(data, np.uint8)
+    if codec == "pcm":
+        for at in range(0, len(raw), PART):
+            yield raw[at : at + PART].view("<i2").astype(np.int16)
+    elif codec in ("mulaw", "alaw"):
+        for at in range(0, len(raw), PART):
+            yield (MULAW if codec == "mulaw" else ALAW)[raw[at : at + PART]]
+    else:
+        blocks = raw.reshape(-1, align)
+        many = max(1, PART // align)
+        for at in range(0, len(blocks), many):
+            some = blocks[at : at + many]
+            yield adpcm_blocks(some[:, 4:], np.ascontiguousarray(some[:, :2]).view("<i2")[:, 0], some[:, 2]).reshape(-1)
+
+
 def decode(media: bytes) -> tuple[np.ndarray, int]:
     """(PCM as int16, rate) of a WAV file of any codec in ``TAGS``."""
     codec, rate, align, data = read_wav(media)
-    raw = np.frombuffer(data, np.uint8)
-    if codec == "pcm":
-        return np.frombuffer(data, "<i2").astype(np.int16), rate
-    if codec in ("mulaw", "alaw"):
-        return (MULAW if codec == "mulaw" else ALAW)[raw], rate
-    blocks = raw.reshape(-1, align)
-    head = np.ascontiguousarray(blocks[:, :2]).view("<i2")[:, 0]
-    return adpcm_blocks(blocks[:, 4:], head, blocks[:, 2]).reshape(-1), rate
+    return np.concatenate([*expanded(codec, align, data), np.zeros(0, np.int16)]), rate
 
 
 def resample(pcm: np.ndarray, rate: int, to: int = WIDE_RATE) -> np.ndarray:
@@ -195,7 +214,7 @@ def expand(stored: DataFrame, media: str = "media", rate: int = WIDE_RATE) -> Da
 
         return files.map(one)
 
-    bounded_batches(stored.sparkSession, rows=64)
+    bounded_batches(stored.sparkSession)
     return stored.withColumn("pcm", of(F.col(media)))
 
 
@@ -205,7 +224,7 @@ def describe(stored: DataFrame, key: str = "doc_id") -> DataFrame:
     The PCM file is that of ``expand``, made here with the features so that a file is decoded once.
 
     ``feature`` names the codec, the resampled samples, their root mean square, peak, zero crossings and check sum.
-    ADPCM files of a batch are decoded together, as many blocks at a time as fit.
+    Short ADPCM files of a batch are decoded together; a long file goes part by part, and no whole PCM of it is held.
     """
     names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm_bytes", "pcm_sha256", "feature"]
 
@@ -231,27 +250,50 @@ TOGETHER = 2 << 20
 
 def _features(files: list[bytes]) -> Iterator[tuple[int, str, str]]:
     read = [read_wav(f) for f in files]
-    pcm: dict[int, np.ndarray | tuple[int, str, str]] = {}
-    todo = [k for k, r in enumerate(read) if r[0] == "adpcm"]
+    done: dict[int, tuple[int, str, str]] = {}
+    todo = [k for k, r in enumerate(read) if r[0] == "adpcm" and len(r[3]) < TOGETHER]
     while todo:
         some, size = [], 0
         while todo and (not some or size + len(read[todo[0]][3]) <= TOGETHER) and (not some or read[todo[0]][2] == read[some[0]][2]):
             size += len(read[todo[0]][3])
             some.append(todo.pop(0))
-        sound, _ = decode(wav("adpcm", b"".join(read[k][3] for k in some), align=read[some[0]][2]))
-        ends = np.cumsum([len(read[k][3]) // read[k][2] * (2 * (read[k][2] - 4) + 1) for k in some])
-        pcm |= dict(zip(some, np.split(sound, ends[:-1]), strict=True))
-        for k in [k for k in sorted(pcm) if k in some]:
-            pcm[k] = _summary("adpcm", pcm[k], read[k][1])
-    for k, (codec, rate, _, _) in enumerate(read):
-        yield pcm[k] if codec == "adpcm" else _summary(codec, decode(files[k])[0], rate)
-
-
-def _summary(codec: str, sound: np.ndarray, rate: int) -> tuple[int, str, str]:
-    """Bytes and digest of the resampled PCM's file, and the feature."""
-    wide = resample(sound, rate)
-    file = wav("pcm", wide.astype("<i2").tobytes(), WIDE_RATE)
-    x = wide.astype(np.float64)
-    square = int(np.dot(x, x))  # whole numbers below 2**53 in any document of under 8 million samples
-    crossings = np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0))
-    return len(file), hashlib.sha256(file).hexdigest(), f"{codec} n={len(wide)} rms={(square / max(1, len(wide))) ** 0.5:.3f} peak={int(np.abs(x).max(initial=0))} zc={crossings} crc={zlib.crc32(wide.astype('<i2').tobytes()):08x}"
+        align = read[some[0]][2]
+        sound = np.concatenate(list(expanded("adpcm", align, b"".join(read[k][3] for k in some))))
+        ends = np.cumsum([len(read[k][3]) // align * (2 * (align - 4) + 1) for k in some])
+        for k, own in zip(some, np.split(sound, ends[:-1]), strict=True):
+            done[k] = _summary("adpcm", [own], len(own), read[k][1])
+    for k, (codec, rate, align, data) in enumerate(read):
+        samples = len(data) // align * (2 * (align - 4) + 1) if codec == "adpcm" else len(data) // (2 if codec == "pcm" else 1)
+        yield done[k] if k in done else _summary(codec, expanded(codec, align, data), samples, rate)
+
+
+def _summary(codec: str, parts: Iterable[np.ndarray], samples: int, rate: int) -> tuple[int, str, str]:
+    """Bytes and digest of the resampled PCM's file, and the feature; sums are whole numbers, so parts give what a whole gives."""
+    if 2 * rate != WIDE_RATE:  # only doubling can go part by part
+        parts = [np.concatenate([*parts, np.zeros(0, np.int16)])]
+    n = samples * WIDE_RATE // rate if rate != WIDE_RATE else samples
+    head = wav_head("pcm", 2 * n, WIDE_RATE)
+    digest, crc, square, peak, crossings, last, held = hashlib.sha256(head), 0, 0, 0, 0, None, np.zeros(0, np.int16)
+
+    def take(wide: np.ndarray) -> None:
+        nonlocal crc, square, peak, crossings, last
+        raw = wide.astype("<i2").tobytes()
+        digest.update(raw)
+        crc = zlib.crc32(raw, crc)
+        big = wide.astype(np.int64)
+        square += int(np.dot(big, big))
+        peak = max(peak, int(np.abs(big).max(initial=0)))
+        below = wide < 0
+        crossings += int(np.count_nonzero(below[1:] != below[:-1])) + int(last is not None and len(below) > 0 and bool(below[0]) != last)
+        last = bool(below[-1]) if len(below) else last
+
+    for part in parts:
+        if 2 * rate != WIDE_RATE:
+            take(resample(part, rate))
+            continue
+        held = np.concatenate([held, part])
+        if len(held):
+            take(resample(held, rate)[:-2])  # the last sample waits for the one after it
+            held = held[-1:]
+    take(resample(held, rate))
+    return len(head) + 2 * n, digest.hexdigest(), f"{codec} n={n} rms={(square / max(1, n)) ** 0.5:.3f} peak={peak} zc={crossings} crc={crc:08x}"
