@@ -8,18 +8,30 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (name, licence, wording) of the templates.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
+#: (name, licence, wording) of the templates: notices, headers, grants, and whole licences.
 TEMPLATES: list[tuple[str, str, str]] = [
     ("apache-2.0-short", "Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0-header", "Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("mit-short", "MIT", "Released under the MIT License."),
-    ("mit-grant", "MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit-grant", "MIT", _MIT),
     ("gpl-3.0-short", "GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3.0-header", "GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("bsd-grant", "BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-grant", "BSD", _BSD),
     ("mpl-2.0-header", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("cc-by-nc-4.0-short", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4.0-short", "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("mit", "MIT", _MIT + ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS),
+    ("bsd-2-clause", "BSD-2-Clause", _BSD + _BSD_TWO + _BSD_END),
+    ("bsd-3-clause", "BSD-3-Clause", _BSD + _BSD_TWO + _BSD_THIRD + _BSD_END),
+    ("isc", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("unlicense", "Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS + " For more information, please refer to https://unlicense.org"),
 ]
 
 #: Words that are looked for only where nothing else will do.
@@ -100,12 +112,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     reach = sized.where(F.arrays_overlap("pairs", _words({p for *_, b in known for p in b})))
     n = F.size("pairs")
 
-    def coefficient(name: str, licence: str, own: list[str]) -> Column:
-        dice = 2.0 * F.size(F.array_intersect("pairs", _words(own))) / (n + len(own))
-        dice = F.when(n.between(F.lit(len(own) * low), F.lit(len(own) * high)), dice)
-        return F.struct(F.lit(name).alias("template"), F.lit(licence).alias("license"), F.round(dice, 9).alias("dice"))
+    # one literal of all templates and one expression over it, whatever their number
+    every = F.array(*(F.struct(F.lit(name).alias("template"), F.lit(licence).alias("license"), _words(own).alias("own")) for name, licence, own in known))
 
-    found = F.filter(F.array(*(coefficient(*k) for k in known)), lambda x: x["dice"] >= least)
+    def coefficient(x: Column) -> Column:
+        size = F.size(x["own"])
+        dice = F.when(n.between(size * low, size * high), 2.0 * F.size(F.array_intersect(F.col("pairs"), x["own"])) / (n + size))
+        return F.struct(x["template"].alias("template"), x["license"].alias("license"), F.round(dice, 9).alias("dice"))
+
+    found = F.filter(F.transform(every, coefficient), lambda x: x["dice"] >= least)
     out = reach.select("key", "unit", "place", n.alias("bigrams"), F.explode(found).alias("x"))
     return out.select(F.col("key").alias(key), "unit", "place", "x.template", "x.license", "bigrams", "x.dice")
 
@@ -115,8 +130,7 @@ def _words(words) -> Column:
 
 
 def sql(least: float = 0.8) -> str:
-    """The same in DuckDB's SQL, over the view ``documents``."""
-    low, high = least / (2 - least), (2 - least) / least
+    """The same in DuckDB's SQL, over the view ``documents``, without any bound before the coefficient."""
     rows = ",\n".join(f"('{name}', '{licence}', {sorted(bigrams(normal_words(wording)))!r})" for name, licence, wording in TEMPLATES)
     return f"""
 WITH templates(template, license, own) AS (VALUES {rows}),
@@ -134,6 +148,6 @@ paired AS (
 scored AS (
   SELECT doc_id, unit, place::INTEGER AS place, template, license, len(pairs)::INTEGER AS bigrams,
          round(2.0::DOUBLE * len(list_intersect(pairs, own)) / (len(pairs) + len(own)), 9) AS dice
-  FROM paired JOIN templates ON len(pairs) BETWEEN len(own) * {low!r} AND len(own) * {high!r})
+  FROM paired, templates)
 SELECT * FROM scored WHERE dice >= {least!r}
 """
