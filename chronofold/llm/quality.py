@@ -15,8 +15,9 @@ from chronofold.llm._common import bounded_batches, flat_bytes, fresh, utf8
 #: Bytes that a filter sees, filters, and bytes of a segment; a chunk is two neighbouring segments, so chunks overlap by one.
 WIDTH, FILTERS, SEGMENT = 6, 16, 64
 HIDDEN = 16
-#: The bounds of what is learned from: labelled rows for each class, and bytes of a text (longer ones are only scored).
-MAX_ROWS, MAX_TEXT = 1500, 32 << 10
+#: The bounds of what is learned from: labelled rows for each class, and bytes of a text; a longer one teaches by as many
+#: bytes in WINDOWS even pieces from its start to its end.
+MAX_ROWS, MAX_TEXT, WINDOWS = 1500, 32 << 10, 8
 STEPS, BATCH, RATE = 600, 32, 0.02
 #: Segments whose filter values are held at a time.
 BLOCK = 1024
@@ -58,13 +59,14 @@ def segment_values(data: np.ndarray, pairs: np.ndarray, bias: np.ndarray) -> np.
     """Each segment's largest value of each filter."""
     total = (len(data) - WIDTH + 1) // SEGMENT
     out = np.empty((total, FILTERS), np.float32)
-    both = data[:-1].astype(np.intp) << 8 | data[1:]
     value, other = np.empty((BLOCK * SEGMENT, FILTERS), np.float32), np.empty((BLOCK * SEGMENT, FILTERS), np.float32)
     for at in range(0, total, BLOCK):
         n = (min(BLOCK, total - at)) * SEGMENT
-        np.take(pairs[0], both[at * SEGMENT : at * SEGMENT + n], axis=0, out=value[:n], mode="clip")
+        some = data[at * SEGMENT : at * SEGMENT + n + WIDTH]
+        both = some[:-1].astype(np.intp) << 8 | some[1:]
+        np.take(pairs[0], both[:n], axis=0, out=value[:n], mode="clip")
         for k in range(1, len(pairs)):
-            np.take(pairs[k], both[at * SEGMENT + 2 * k : at * SEGMENT + 2 * k + n], axis=0, out=other[:n], mode="clip")
+            np.take(pairs[k], both[2 * k : 2 * k + n], axis=0, out=other[:n], mode="clip")
             np.add(value[:n], other[:n], out=value[:n])
         out[at : at + n // SEGMENT] = value[:n].reshape(-1, SEGMENT, FILTERS).max(axis=1)
     return out + bias
@@ -176,8 +178,9 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, max_text: int = MAX_TEXT) -> Network:
     """A network learned from at most ``max_rows`` labelled documents of each class that are not held out.
 
-    The rows are those with the smallest hash of the key; texts of over ``max_text`` bytes are left to scoring. So
-    at most ``2 * max_rows * max_text`` bytes reach the driver. Labels other than 0 and 1, null keys and keys with
+    The rows are those with the smallest hash of the key, whatever their length. A text of over ``max_text`` bytes
+    teaches by so many of them, in pieces spread evenly over all of it. So at most ``2 * max_rows * max_text`` bytes
+    reach the driver. Labels other than 0 and 1, null keys and keys with
     both labels teach nothing; of several texts with one key the smallest does.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key)))
@@ -186,7 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     drawn: dict = {}
     for y in counts:
         drawn |= dict(known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(max_rows).collect())
-    texts = docs.select(F.col(key).alias("k"), utf8(F.coalesce(F.col(text), F.lit(""))).alias("t")).where(F.col("k").isin(list(drawn)) & (F.octet_length("t") <= max_text))
+    width, whole = max_text // WINDOWS, utf8(F.coalesce(F.col(text), F.lit("")))
+    places = [F.floor((F.octet_length("w") - width) * k / max(1, WINDOWS - 1)).cast("int") + 1 for k in range(WINDOWS)]
+    pieces = F.concat(*(F.substring(F.col("w"), at, F.lit(width)) for at in places))
+    texts = docs.select(F.col(key).alias("k"), whole.alias("w")).where(F.col("k").isin(list(drawn))).select("k", F.when(F.octet_length("w") <= max_text, F.col("w")).otherwise(pieces).alias("t"))
     rows = sorted((k, bytes(t)) for k, t in texts.groupBy("k").agg(F.min("t").alias("t")).collect()) if drawn else []
     return train([t for _, t in rows], np.array([drawn[k] for k, _ in rows], np.int64), (counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
 
