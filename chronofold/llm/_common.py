@@ -19,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
-    """Bounds the Arrow batches of this session by rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by rows and bytes, for every operator alike.
+
+    A plan reads these settings when it runs, so they stay set; smaller limits that the session has stay as they are.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        own = spark.conf.get(f"spark.sql.execution.arrow.{name}").lower().removesuffix("b")
+        size = int(own.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(own[-1], 0)
+        if not 0 < size <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:

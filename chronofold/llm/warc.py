@@ -68,7 +68,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                 rows = [(path, o, n, hashlib.sha256(content[o : o + n]).hexdigest()) for o, n in found]
                 yield pa.RecordBatch.from_pylist([dict(zip(("archive", "offset", "length", "digest"), r, strict=True)) for r in rows], pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string())]))
 
-    bounded_batches(files.sparkSession, rows=1)
+    bounded_batches(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, "archive string, offset long, length long, digest string")
 
 
