@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from chronofold.llm._common import cut
 
-#: Path segments that get a level of the tree; what is deeper stays in the last one.
+#: Path segments that get a level of the tree unless another number is given; what is deeper stays in the last one.
 DEPTH = 8
-#: A node is a variable when it has so many branches, and so many of each row; its branches need so many labels for their own.
+#: A node is a variable when it has so many branches, and so many of each row; a branch's labels say something from OWN on.
 MANY, MANY_SHARE, OWN = 8, 0.2, 8
 #: Standard errors under which a branch's labels are like its siblings'.
 SIMILAR = 2.0
 #: Labelled rows that a prior weighs.
 PRIOR = 8.0
-#: The most templates that are broadcast; with more they are joined by a shuffle.
-BROADCAST_TEMPLATES = 100_000
+#: The most templates, and bytes of them, that are broadcast; with more they are joined by a shuffle.
+BROADCAST_TEMPLATES, BROADCAST_BYTES = 100_000, 16 << 20
 
 Rule = tuple[str, str]
 RULES: list[Rule] = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -45,19 +45,21 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def shapes_of(path: Column) -> Column:
-    """A path's segments with runs of digits as ``{n}`` and long hexadecimal words as ``{h}``, ``DEPTH`` at most."""
+def shapes_of(path: Column, depth: int = DEPTH) -> Column:
+    """A path's segments with runs of digits as ``{n}`` and long hexadecimal words as ``{h}``, ``depth`` at most."""
     hexed = F.regexp_replace(path, r"(?<=^|[/._-])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{8,}(?=$|[/._-])", "{h}")
-    return F.slice(F.split(F.regexp_replace(hexed, "[0-9]+", "{n}"), "/", DEPTH + 1), 2, DEPTH)
+    return F.slice(F.split(F.regexp_replace(hexed, "[0-9]+", "{n}"), "/", depth + 1), 2, depth)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """Rows (host, shapes, template, purity) of the tree over ``pages`` (host, shapes, labelled 0 or 1, bad 0 or 1).
 
     Rows are first summed by host and shapes, so a host of any size is as many rows as it has shapes. Level by level,
-    those of a node's branches become one wildcard whose share of bad labels is within ``SIMILAR`` standard errors of
-    their siblings', and in a variable (``MANY``, ``MANY_SHARE``) those with under ``OWN`` labels, which say little. A template's purity is its
-    share of good labels, smoothed with ``PRIOR`` rows of its host's share, itself smoothed with that of all.
+    two kinds of a node's branches become one wildcard: in a variable (``MANY``, ``MANY_SHARE``) those with under
+    ``OWN`` labels, which say little; and those with more whose share of bad labels is within ``SIMILAR`` standard
+    errors of their siblings'. A branch that nothing is known of keeps its name where its node is no variable. A
+    template's purity is its share of good labels, smoothed with ``PRIOR`` rows of its host's share, itself smoothed
+    with that of all.
     """
     held = cut(pages.groupBy("host", "shapes").agg(F.count("*").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b")).withColumn("prefix", F.lit("")))
     deepest = held.agg(F.max(F.size("shapes"))).first()[0] or 0
@@ -68,9 +70,10 @@ def templates(pages: DataFrame) -> DataFrame:
         joined = kids.join(nodes.select("host", "prefix", "k", F.col("N").alias("all"), F.col("L").alias("ll"), F.col("B").alias("bb")), ["host", "prefix"])
         rest, rate = F.col("ll") - F.col("l"), (F.col("bb") + 1.0) / (F.col("ll") + 2.0)
         error = F.sqrt(rate * (1 - rate) * (1.0 / F.col("l") + 1.0 / rest))
-        apart = (F.col("l") > 0) & (rest > 0) & (F.abs(F.col("b") / F.col("l") - (F.col("bb") - F.col("b")) / rest) > SIMILAR * error)
+        known = F.coalesce((F.col("l") >= OWN) & (rest > 0), F.lit(False))
+        alike = known & (F.abs(F.col("b") / F.col("l") - (F.col("bb") - F.col("b")) / rest) <= SIMILAR * error)
         variable = (F.col("k") >= MANY) & (F.col("k") > MANY_SHARE * F.col("all"))
-        named = joined.select("host", "prefix", "seg", F.when((variable & (F.col("l") < OWN)) | ((F.col("k") > 1) & ~F.coalesce(apart, F.lit(False))), F.lit("*")).otherwise(F.col("seg")).alias("to"))
+        named = joined.select("host", "prefix", "seg", F.when((variable & (F.col("l") < OWN)) | F.coalesce(alike, F.lit(False)), F.lit("*")).otherwise(F.col("seg")).alias("to"))
         moved = deep.join(named, ["host", "prefix", "seg"]).select("host", "shapes", "n", "l", "b", F.concat("prefix", F.lit("/"), "to").alias("prefix"))
         held = cut(moved.unionByName(held.where(F.size("shapes") <= level)))
     total = held.agg(F.sum("l"), F.sum("b")).first()
@@ -81,7 +84,7 @@ def templates(pages: DataFrame) -> DataFrame:
     return held.join(pure, ["host", "prefix"]).select("host", "shapes", F.col("prefix").alias("template"), F.round("purity", 9).alias("purity"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", rules: list[Rule] = RULES, least: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", rules: list[Rule] = RULES, least: float = 0.5, depth: int = DEPTH) -> DataFrame:
     """One row (key, host, path, rule, verdict, template, purity) for each page.
 
     ``labels`` has rows (key, bad 0 or 1). The verdict is that of the longest fitting rule, else ``allow`` where the
@@ -92,10 +95,11 @@ def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str =
     """
     worst = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col("bad").cast("int")).alias("bad")).where("bad IN (0, 1)")
     parsed = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    shaped = parsed.withColumn("shapes", shapes_of(F.col("path")))
+    shaped = parsed.withColumn("shapes", shapes_of(F.col("path"), depth))
     known = shaped.join(worst, "key", "left").select("host", "shapes", F.col("bad").isNotNull().cast("int").alias("labelled"), F.coalesce("bad", F.lit(0)).alias("bad"))
     tree = cut(templates(known))
-    tree = F.broadcast(tree) if tree.count() <= BROADCAST_TEMPLATES else tree
+    size = tree.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("template") + F.octet_length(F.concat_ws("/", "shapes"))), F.lit(0))).first()
+    tree = F.broadcast(tree) if size[0] <= BROADCAST_TEMPLATES and size[1] <= BROADCAST_BYTES else tree
     rule = rule_of(F.col("host"), F.col("path"), rules)
     verdicts = F.create_map(*(F.lit(x) for verdict, name in rules for x in (name, verdict))) if rules else None
     found = shaped.join(tree, ["host", "shapes"]).withColumn("rule", rule)

@@ -46,8 +46,8 @@ def plain_templates(pages):
                 mine = [r[2] for r in own if r[2] is not None]
                 rest, bad = len(marks) - len(mine), sum(marks) - sum(mine)
                 rate = (sum(marks) + 1) / (len(marks) + 2)
-                apart = bool(mine) and rest > 0 and abs(sum(mine) / len(mine) - bad / rest) > urls.SIMILAR * (rate * (1 - rate) * (1 / len(mine) + 1 / rest)) ** 0.5
-                names[seg] = "*" if variable or (len(kids) > 1 and not apart) else seg
+                alike = len(mine) >= urls.OWN and rest > 0 and abs(sum(mine) / len(mine) - bad / rest) <= urls.SIMILAR * (rate * (1 - rate) * (1 / len(mine) + 1 / rest)) ** 0.5
+                names[seg] = "*" if alike or (variable and len(mine) < urls.OWN) else seg
             for row in rows:
                 row[3] += "/" + names[row[1][level]]
     marks = [r[2] for r in state if r[2] is not None]
