@@ -392,44 +392,54 @@ def truth_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.agg(F.countDistinct("source").alias("laws"), F.count("*").alias("versions"))
 
 
-# ---- similarity: Ratcliff-Obershelp has no SQL, so these are held against brute force in the tests
+# ---- similarity: provisions of two versions of each law, as the alignment is for; a conversation is a law, a turn a provision
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text")
+def _two_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every conversation's turns, and a later version of them: the second turn and those behind it moved by one, each third worded with a word more."""
+    turns = table(spark, sf_dir, "conversations")
+    first = turns.select("conv_id", F.col("turn").alias("id"), "text")
+    moved = F.when(F.col("turn") >= 2, F.col("turn") + 1).otherwise(F.col("turn"))
+    later = turns.select("conv_id", moved.alias("id"), F.when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" ny"))).otherwise(F.col("text")).alias("text"))
+    return first, later
 
 
-@query()
-def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return align.pairs(docs, docs, 0.9, ["lang"]).where("a_id < b_id").withColumn("score", F.round("score", 6))
+_ALIKE = """
+WITH versions AS (
+  SELECT conv_id, turn AS a_id, CASE WHEN turn >= 2 THEN turn + 1 ELSE turn END AS b_id, turn % 3 = 1 AS worded,
+         length(trim(regexp_replace(lower(text), '[^a-z0-9æøå]+', ' ', 'g'))) AS n FROM conversations),
+alike AS (
+  SELECT conv_id, a_id, b_id, CASE WHEN NOT worded THEN 1.0::DOUBLE WHEN n = 0 THEN 0.0 ELSE 2.0::DOUBLE * n / (2 * n + 3) END AS score FROM versions)
+SELECT conv_id, a_id, b_id, round(score, 4) AS score FROM alike WHERE score >= 0.9"""
 
 
-def _matched_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mutual best matches of every two versions; as in ``truth_coverage``, a source is a version of its languages' texts."""
-    docs = _docs(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit("")))
-    other = docs.select(F.col("source").alias("other")).distinct()
-    both = docs.join(other, F.col("source") != F.col("other")).withColumn("a_version", F.least("source", "other")).withColumn("b_version", F.greatest("source", "other"))
-    first = F.col("source") == F.col("a_version")
-    return align.mutual_best(both.where(first), both.where(~first), 0.9, ["lang", "a_version", "b_version"])
+@query(_ALIKE)
+def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, later = _two_versions(spark, sf_dir)
+    return align.pairs(first, later, 0.9, ["conv_id"]).withColumn("score", F.round("score", 4))
 
 
-@query()
+@query(_ALIKE)
 def mutual_best_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched_versions(spark, sf_dir)
+    first, later = _two_versions(spark, sf_dir)
+    return align.mutual_best(first, later, 0.9, ["conv_id"])
 
 
-@query()
+@query(_ALIKE + " AND a_id <> b_id")
 def renumber_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.renumbered(_matched_versions(spark, sf_dir))
+    first, later = _two_versions(spark, sf_dir)
+    return align.renumbered(align.mutual_best(first, later, 0.9, ["conv_id"]))
 
 
-@query()
+@query("""
+SELECT t.conv_id, t.turn, md5(regexp_replace(b.text, '\\s+', '', 'g')) AS before, md5(regexp_replace(t.text, '\\s+', '', 'g')) AS after FROM conversations t JOIN conversations b ON b.conv_id = t.conv_id AND b.turn + 1 = t.turn""")
 def redline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacent turns' redlines, of which both sides are put together again (but for white space, which separates runs)."""
     turns = table(spark, sf_dir, "conversations")
     pairs = turns.join(turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before")), ["conv_id", "turn"])
     runs = history.redline(pairs.select("conv_id", "turn", "before", "text"), "before", "text")
-    return runs.select("conv_id", "turn", F.size("redline").alias("runs"), F.aggregate(F.filter("redline", lambda r: r["op"] == "same"), F.lit(0), lambda a, r: a + F.length(r["text"])).alias("same"))
+    side = lambda other: F.md5(F.regexp_replace(F.array_join(F.transform(F.filter("redline", lambda r: r["op"] != other), lambda r: r["text"]), ""), r"\s+", "").cast("binary"))
+    return runs.select("conv_id", "turn", side("new").alias("before"), side("gone").alias("after"))
 
 
 # ---- statutes: small literal texts through the whole engine

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.core import schema
@@ -16,13 +16,25 @@ def bases(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("law", "para", "ordinal", "text", "is_ocr", "base_as_of")
 
 
+def by_line(raw: DataFrame) -> DataFrame:
+    """Rows of text files with ``line_no``, which rises with the file's name and the place in it, however files are split or packed.
+
+    A row's number in its task rises with the line within each piece of a file; the pieces, a row for each split, are
+    numbered by name and start.
+    """
+    placed = raw.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    order = Window.orderBy("_file", "_start")
+    pieces = placed.select("_file", "_start").distinct().withColumn("_piece", F.row_number().over(order))
+    return placed.join(F.broadcast(pieces), ["_file", "_start"]).withColumn("line_no", F.shiftleft(F.col("_piece").cast("long"), 33) + F.col("_row")).drop("_file", "_start", "_row", "_piece")
+
+
 def op_stream(spark: SparkSession, path: str, rank: int) -> DataFrame:
     """Raw operations of a JSON-lines file (plain or gz) with its rank among the streams and their lines' order.
 
     Lines that are no JSON are left out, as a broken tail of an interrupted write is.
     """
     raw = spark.read.schema(schema.RAW_OP + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    numbered = raw.withColumn("stream_rank", F.lit(rank)).withColumn("line_no", F.monotonically_increasing_id())
+    numbered = by_line(raw).withColumn("stream_rank", F.lit(rank))
     return numbered.where("_corrupt_record IS NULL").drop("_corrupt_record").withColumn("target_law", t.law_of_ref(F.col("target_law"))).withColumn("act_refid", t.law_of_ref(F.col("act_refid")))
 
 
@@ -32,7 +44,7 @@ def overrides(spark: SparkSession, path: str) -> DataFrame:
 
 def reforms(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(schema.REFORM).json(path)
-    return raw.withColumn("target_law", t.law_of_ref(F.col("target_law"))).withColumn("line_no", F.monotonically_increasing_id())
+    return by_line(raw).withColumn("target_law", t.law_of_ref(F.col("target_law")))
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:

@@ -18,17 +18,21 @@ def folder(spark, tmp_path_factory):
     return path, rows
 
 
+def documents(spark, path):
+    return spark.read.parquet(f"{path}/documents.parquet").selectExpr("doc_id AS id", "lang", "source", "text")
+
+
 def test_similar_pairs_of_any_length(spark, folder):
     path, rows = folder
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and wording.similarity(a[1], b[1]) >= 0.9}
-    assert {(r["a_id"], r["b_id"]) for r in queries.similarity_pairs(spark, path).collect()} == want >= {(0, 2), (0, 4), (6, 8)}
+    docs = documents(spark, path)
+    assert {(r["a_id"], r["b_id"]) for r in align.pairs(docs, docs, 0.9, ["lang"]).where("a_id < b_id").collect()} == want >= {(0, 2), (0, 4), (6, 8)}
 
 
 def test_best_matches_between_versions(spark, folder):
-    """All ids are even, so sides by the parity of the id would hold no pair."""
-    path, _ = folder
-    assert {(r["a_id"], r["b_id"]) for r in queries.mutual_best_docs(spark, path).collect()} == {(0, 2), (6, 8)}
-    assert queries.renumber_map(spark, path).count() == 2
+    docs = documents(spark, folder[0])
+    found = align.mutual_best(docs.where("source = 's1'"), docs.where("source = 's2'"), 0.9, ["lang"])
+    assert {(r["a_id"], r["b_id"]) for r in found.collect()} == {(0, 2), (6, 8)} and align.renumbered(found).count() == 2
 
 
 def test_redline_of_long_turns(spark, folder):
