@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.text import is_annex, is_renumbering, is_repealed_stub
@@ -124,3 +124,9 @@ def verdict(row) -> int:
 def render(row) -> str:
     """A status line in Markdown."""
     return f"| {row['matched']}/{row['total']} | {row['matched_rate']:.4f} | strict {row['strict']}/{row['total']} | annexes {row['annex']} | repealed {row['repealed']} | {'PASS' if verdict(row) == 0 else 'IN PROGRESS'} |"
+
+
+def unresolved_reasons(lost: DataFrame, reason: str = "reason") -> DataFrame:
+    """Rows (reason, n, place) of operations that found no target: the most common reason first, ties by its name."""
+    counts = lost.where(F.col(reason).isNotNull()).groupBy(reason).agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), reason)))  # a row for each reason

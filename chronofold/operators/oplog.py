@@ -25,6 +25,11 @@ def union(*streams: DataFrame) -> DataFrame:
     return out
 
 
+def universe(*sources: DataFrame, law: str = "law") -> DataFrame:
+    """Every law that a stream or the bases name, once; each source is made distinct in its tasks before they meet."""
+    return union(*(s.select(law).where(F.col(law).isNotNull()).distinct() for s in sources)).distinct()
+
+
 def keep_first(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in the order given; null keys are keys.
 

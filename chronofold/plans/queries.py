@@ -392,6 +392,23 @@ def truth_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.agg(F.countDistinct("source").alias("laws"), F.count("*").alias("versions"))
 
 
+@query("""
+SELECT reason, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, reason)::INTEGER AS place FROM (
+  SELECT CASE WHEN item_id IS NULL THEN 'no-anchor' WHEN n_chars < length(b.text) THEN 'source-too-short' ELSE 'anchor-' || lang END AS reason
+  FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id) GROUP BY reason""")
+def unresolved_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quoted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.length("text").alias("long"))
+    docs = table(spark, sf_dir, "documents").join(quoted, "doc_id", "left")
+    reason = F.when(F.col("long").isNull(), "no-anchor").when(F.col("n_chars") < F.col("long"), "source-too-short").otherwise(F.concat(F.lit("anchor-"), "lang"))
+    return score.unresolved_reasons(docs.select(reason.alias("reason")))
+
+
+@query("SELECT c_custkey AS law FROM customer UNION SELECT o_custkey FROM orders UNION SELECT user_id FROM events WHERE user_id IS NOT NULL")
+def law_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    law = lambda name, column: table(spark, sf_dir, name).select(F.col(column).alias("law"))
+    return oplog.universe(law("customer", "c_custkey"), law("orders", "o_custkey"), law("events", "user_id"))
+
+
 # ---- similarity: provisions of two versions of each law, as the alignment is for; a conversation is a law, a turn a provision
 
 
