@@ -123,11 +123,15 @@ def dated_number(text: str, at: int) -> tuple[int, str] | None:
     return (end, f"{text[year : year + 4]}-{month:02d}-{int(text[at:day]):02d}-{int(text[number:end])}") if end > number else None
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, every letter at its own place."""
+    low = text.lower()  # a letter whose lower form is longer would move all places
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def citations(text: str) -> Iterator[tuple[int, int, int, str]]:
     """(place of ``lov``, of the date, end, law) of laws cited by date, ``lov`` and an ``av`` before it in any case."""
-    low = text.lower()
-    if len(low) != len(text):  # a letter whose lower form is longer would move all places
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    low = lowered(text)
     at = low.find("lov")
     while at >= 0:
         date = blanks(text, at + 3)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.core import acts
+from chronofold.core import acts, issue
 from chronofold.functions import text as t
 
 
@@ -103,49 +103,81 @@ def all_pages(wanted: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     return wanted.join(pages.select(*key, "text"), key, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-_TOC = r"(?iU)(januar|jan|februar|feb|mars|mar|april|apr|mai|juni|jun|juli|jul|august|aug|september|sept|sep|oktober|okt|november|nov|desember|des)\w*\.?\s*(\d{1,2})\.\s*Lov\s+nr\.?\s*(\d+)[^\S\n]*([^\n]*)"
-
-
 def contents(issues: DataFrame, key: list[str], toc: str, year: str) -> DataFrame:
     """Acts (key, nr, date, klass, target, title) of issues' tables of contents; the first entry of a number holds."""
-    start = F.locate("Innhold", F.col(toc))
-    body = F.when(start > 0, F.expr(f"substring({toc}, locate('Innhold', {toc}))")).otherwise(F.col(toc))
-    entries = issues.select(*key, year, F.posexplode(F.regexp_extract_all(body, F.lit(_TOC), F.lit(0))).alias("at", "e"))
-    part = lambda g: F.regexp_extract("e", _TOC, g)
-    klass = t.act_class(part(4))
-    rows = entries.select(
-        *key, part(3).cast("int").alias("nr"), "at",
-        F.when(F.col(year).isNotNull(), F.format_string("%s-%02d-%02d", F.col(year).cast("string"), t.month_number(part(1)), part(2).cast("int"))).alias("date"),
-        klass.alias("klass"), F.when(klass.isin("amend", "repeal"), t.law_id(part(4))).alias("target"), F.substring(t.squeeze(part(4)), 1, 200).alias("title"),
+    listed = _mapped(issues, [*key, year], toc, "nr int, month int, day int, rest string", issue.entries)
+    klass = t.act_class(F.col("rest"))
+    rows = listed.select(
+        *key, "nr", "n",
+        F.when(F.col(year).isNotNull(), F.format_string("%s-%02d-%02d", F.col(year).cast("string"), "month", "day")).alias("date"),
+        klass.alias("klass"), F.when(klass.isin("amend", "repeal"), t.law_id(F.col("rest"))).alias("target"), F.substring(t.squeeze(F.col("rest")), 1, 200).alias("title"),
     )
-    return first_of_each(rows, [*key, "nr"], "at").drop("at")
+    return first_of_each(rows, [*key, "nr"], "n").drop("n")
+
+
+def _with_numbers(issues: DataFrame, key: list[str], text: str, listed: DataFrame) -> DataFrame:
+    """Issues (key, _text) with the numbers that their contents list; some dozens each."""
+    return issues.select(*key, F.col(text).alias("_text")).join(listed.groupBy(*key).agg(F.array_sort(F.collect_set("nr")).alias("_nrs")), key)
 
 
 def bodies(issues: DataFrame, key: list[str], text: str, listed: DataFrame) -> DataFrame:
     """Acts' bodies (key, nr, body): each listed number, in order, from its first heading behind the one chosen before."""
-    head = r"(?U)Lov\s+nr\.?\s*(\d+)\s*\n"
-    parts = F.split(F.col(text), rf"(?={head})")
-    ends = F.aggregate(parts, F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<nr:int,pos:int>>").alias("heads")), lambda a, p: F.struct((a["n"] + F.length(p)).alias("n"), F.when(p.rlike(f"^{head}"), F.array_append(a["heads"], F.struct(F.regexp_extract(p, head, 1).cast("int").alias("nr"), a["n"].alias("pos")))).otherwise(a["heads"]).alias("heads")))
-    numbers = listed.groupBy(*key).agg(F.array_sort(F.collect_set("nr")).alias("numbers"))
-    found = issues.select(*key, F.col(text).alias("_text"), ends["heads"].alias("heads")).join(numbers, key)
-    picked = F.aggregate("numbers", F.array().cast("array<struct<nr:int,pos:int>>"), lambda got, nr: F.coalesce(F.concat(got, F.slice(F.filter("heads", lambda h: (h["nr"] == nr) & (h["pos"] > F.coalesce(F.try_element_at(got, F.lit(-1))["pos"], F.lit(-1)))), 1, 1)), got))
-    rows = found.select(*key, "_text", F.posexplode(picked).alias("k", "x"), picked.alias("all"))
-    end = F.coalesce(F.get(F.col("all"), F.col("k") + 1)["pos"], F.length("_text"))
-    return rows.select(*key, F.col("x.nr").alias("nr"), F.substring(F.col("_text"), F.col("x.pos") + 1, end - F.col("x.pos")).alias("body"))
+
+    @F.pandas_udf("array<struct<nr: int, body: string>>")
+    def cut(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([[{"nr": nr, "body": x[a:b]} for nr, a, b in issue.chosen_heads(x or "", list(ns))] for x, ns in zip(texts, numbers, strict=True)])
+
+    return _with_numbers(issues, key, text, listed).select(*key, F.explode(cut("_text", "_nrs")).alias("x")).select(*key, "x.*")
+
+
+def boundary_check(issues: DataFrame, key: list[str], text: str, listed: DataFrame) -> DataFrame:
+    """Issues (key, n, increasing, bleed, ok): how many bodies they have, whether their starts rise, and which acts' bodies
+    hold the next act's heading, as an array (nr, next). An issue without a body is ok."""
+
+    @F.pandas_udf("struct<starts: array<struct<nr: int, start: int>>, bleed: array<struct<nr: int, next: int>>>")
+    def look(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, ns in zip(texts, numbers, strict=True):
+            heads = issue.chosen_heads(x or "", list(ns))
+            over = [{"nr": a[0], "next": b[0]} for a, b in zip(heads, heads[1:], strict=False) if issue.bleeds(x, a[1], a[2], b[0])]
+            rows.append(([{"nr": nr, "start": start} for nr, start, _ in heads], over))
+        return pd.DataFrame(rows, columns=["starts", "bleed"])
+
+    seen = _with_numbers(issues, key, text, listed).select(*key, look("_text", "_nrs").alias("x"))
+    rising = F.forall(F.zip_with("x.starts", F.slice("x.starts", 2, F.greatest(F.size("x.starts"), F.lit(1))), lambda a, b: b.isNull() | (a["start"] < b["start"])), lambda y: y)
+    return seen.select(*key, F.size("x.starts").alias("n"), rising.alias("increasing"), "x.bleed").withColumn("ok", F.col("increasing") & (F.size("bleed") == 0))
+
+
+def issue_acts(issues: DataFrame, key: list[str], toc: str, text: str, year: str) -> DataFrame:
+    """All acts (key, nr, date, klass, target, title, body) that issues list; the body is empty where no heading is found."""
+    listed = contents(issues, key, toc, year)
+    return listed.join(bodies(issues, key, text, listed), [*key, "nr"], "left").withColumn("body", F.coalesce("body", F.lit("")))
+
+
+def gazette_rows(acts_of_issues: DataFrame, key: list[str]) -> DataFrame:
+    """The log's raw rows of amending and repealing acts with a target and a body, one for each operation.
+
+    The date of an act is the first guess at when it came into force.
+    """
+    wanted = acts_of_issues.where("klass IN ('amend', 'repeal') AND target IS NOT NULL AND body <> ''")
+    ops = free_text_ops(wanted, [*key, "nr", "date", "title", "target"], "body")
+    act = F.concat(F.lit("lov/"), F.coalesce("date", F.lit("?")), F.lit("-"), F.col("nr").cast("string"))
+    return ops.select(
+        *key, "n", act.alias("act_refid"), F.col("title").alias("act_title"), F.concat(F.lit("lov/"), "target").alias("target_law"),
+        F.coalesce(F.nullif("unit", F.lit("")), F.nullif("para", F.lit(""))).alias("target"), F.nullif("para", F.lit("")).alias("paragraph"),
+        t.change_of_action(F.col("action"), F.col("unit")).alias("change_type"), t.instruction_of(F.col("para"), F.col("unit"), F.col("action")).alias("instruction"),
+        "new_text", F.col("date").alias("date_in_force_resolved"), F.col("date").alias("date_published"),
+    )
 
 
 def law_text(text: Column, needle: str, end_needle: str | None = None) -> Column:
     """One law out of an issue: from its title to an end phrase, or to the next act's heading; null without the title."""
-    months = "(?:jan|feb|mars|apr|mai|juni|juli|aug|sep|sept|okt|nov|des)[a-zæøå]*"
-    following = rf"(?im)^\s*(?:\d{{1,2}}\.?\s*)?{months}\.?\s*Lov nr\.?\s*\d+\s*(?:\n\s*\d{{1,2}}\s*)?\n\s*Lov\s+(?:om|um)\b"
-    at = F.instr(text, needle)
-    after = F.substring(text, at, F.length(text))
-    head, tail = F.substring(after, 1, 50), F.substring(after, F.lit(51), F.length(after))
-    cut = F.concat(head, F.element_at(F.split(tail, following, 2), 1))
-    if end_needle:
-        stop = F.locate(end_needle, after, 51)
-        cut = F.when(stop > 0, F.substring(after, F.lit(1), stop - 1 + len(end_needle))).otherwise(cut)
-    return F.when(at > 0, cut)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else issue.law_text(x, needle, end_needle))
+
+    return cut(text)
 
 
 def repaired_boundaries(rows: DataFrame, key: list[str], line: str = "line", para: str = "para") -> DataFrame:
@@ -232,6 +264,23 @@ def ocr_provisions(rows: DataFrame, key: list[str], text: str, repair: bool = Fa
     return found.withColumn("text", body).where("text <> ''")
 
 
+def sliced_provisions(texts: DataFrame, boundaries: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Provisions (key, n, para, text, verbatim, heading_fits) that a table of boundaries (key, para, line) marks.
+
+    Boundaries are repaired first, so those left rise by line. ``verbatim`` says whether a body is the source's own
+    words; a base with any that isn't must not be built. Lines count from 1.
+    """
+    kept = repaired_boundaries(boundaries, key).where("kept").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line", "para"))).alias("_marks"))
+
+    @F.pandas_udf("array<struct<para: string, text: string, verbatim: boolean, heading_fits: boolean>>")
+    def cut(bodies: pd.Series, marked: pd.Series) -> pd.Series:
+        names = ("para", "text", "verbatim", "heading_fits")
+        return pd.Series([[dict(zip(names, row, strict=True)) for row in issue.sliced(x or "", [(m["para"], m["line"]) for m in ms])] for x, ms in zip(bodies, marked, strict=True)])
+
+    both = texts.select(*key, F.col(text).alias("_text")).join(kept, key)
+    return both.select(*key, F.posexplode(cut("_text", "_marks")).alias("n", "x")).select(*key, "n", "x.*")
+
+
 def verified_ops(sections: DataFrame, quoted: DataFrame, key: list[str]) -> DataFrame:
     """Operations (key, para, change_type, instruction, new_text, flag) whose payloads are the section's own words.
 
