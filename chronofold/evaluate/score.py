@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,11 +118,39 @@ def examples(missed: DataFrame, most: int = 12) -> DataFrame:
     return worst.select("bucket", F.posexplode("x").alias("place", "x")).select("bucket", "place", "x.law", "x.para", "x.sim")
 
 
-def verdict(row) -> int:
-    """The gate's exit code: 0 where the matched rate reaches the bar, else 1."""
+def verdict(row, guards: dict[str, list[str]] | None = None) -> int:
+    """The gate's exit code: 3 where a guard has findings, which no rate outweighs; 0 where the matched rate reaches the bar; else 1."""
+    if any((guards or {}).values()):
+        return 3
     return 0 if row["matched_rate"] >= GATE else 1
 
 
+def imports_of(source: str) -> set[str]:
+    """The modules that a Python source imports, wherever it does."""
+    found = set()
+    for node in ast.walk(ast.parse(source)):
+        if isinstance(node, ast.Import):
+            found |= {name.name for name in node.names}
+        elif isinstance(node, ast.ImportFrom) and node.module:
+            found |= {node.module, *(f"{node.module}.{name.name}" for name in node.names)}
+    return found
+
+
+def guards(sources: dict[str, str], contaminations: DataFrame, held: str = "chronofold.evaluate") -> dict[str, list[str]]:
+    """Findings by guard: sources (name to text) of the reconstruction that import what is held out, and contaminated bases."""
+    leaks = [name for name, source in sorted(sources.items()) if any(m == held or m.startswith(held + ".") for m in imports_of(source))]
+    bases = [f"{r['law']} {r['para']}" for r in contaminations.select("law", "para").orderBy("law", "para").limit(100).collect()]  # a report; one is enough to fail
+    return {"import": leaks, "base": bases}
+
+
+def snapshot(row, guards_found: dict[str, list[str]], laws: DataFrame, sources: dict[str, DataFrame]) -> dict:
+    """A status as plain values: the score, the guards' findings, laws by their rate, and rows by source."""
+    return {
+        "matched": row["matched"], "total": row["total"], "rate": row["matched_rate"], "exit": verdict(row, guards_found), "guards": guards_found,
+        "laws": breadth(laws).first().asDict(), "sources": {name: rows.count() for name, rows in sources.items()},
+    }
+
+
 def render(row) -> str:
     """A status line in Markdown."""
     return f"| {row['matched']}/{row['total']} | {row['matched_rate']:.4f} | strict {row['strict']}/{row['total']} | annexes {row['annex']} | repealed {row['repealed']} | {'PASS' if verdict(row) == 0 else 'IN PROGRESS'} |"

@@ -152,6 +152,30 @@ def reconstructable(ops: DataFrame) -> DataFrame:
     return last_kind(ops.where("para IS NOT NULL"), ["law", "para"], "kind", order_struct()).where("kind IN ('replace', 'add')")
 
 
+def rederived(ops: DataFrame, acts: DataFrame, blocks: DataFrame, limit: int = 4_000) -> DataFrame:
+    """Operations whose payload was cut at ``limit`` characters, with the whole one out of their acts' replacement blocks.
+
+    ``ops`` has (act, law, instruction, new_text), ``acts`` the column act of all acts there are, ``blocks`` (act, n,
+    instruction, block). One row (act, law, instruction, new_text, reason) for each cut (act, law, instruction): the
+    first block that goes on from the payload as it is, else a null text and why. Blocks that several operations name
+    meet them by act and instruction, so an act's markup is read once, whatever the number of its operations.
+    """
+    cut = ops.where(F.length("new_text") == limit).select("act", "law", "instruction", F.col("new_text").alias("head"), F.regexp_replace("instruction", r"(?U)^\s+|\s+$", "").alias("_said")).distinct()
+    whole = blocks.select("act", F.col("instruction").alias("_said"), "n", "block")
+    seen = cut.join(whole, ["act", "_said"], "left").withColumn("_fits", F.col("block").startswith(F.col("head")))
+    best = seen.groupBy("act", "law", "instruction").agg(F.min_by("block", F.when(F.col("_fits"), F.col("n"))).alias("new_text"), F.count("block").alias("_n"))
+    there = acts.select("act").distinct().withColumn("_there", F.lit(True))
+    reason = F.when(F.col("new_text").isNotNull(), F.lit(None)).when(F.col("_there").isNull(), "no-source").when(F.col("_n") == 0, "instruction-not-found").otherwise("no-block-fits")
+    return best.join(there, "act", "left").select("act", "law", "instruction", "new_text", reason.alias("reason"))
+
+
+def dated(ops: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Raw operations with ``date_in_force_resolved`` from an in-force index (datokode, resolved) where they have none."""
+    index = resolved.where("resolved IS NOT NULL").groupBy("datokode").agg(F.min("resolved").alias("_resolved"))
+    joined = ops.join(index, ops["act_refid"] == index["datokode"], "left")
+    return joined.withColumn("date_in_force_resolved", F.coalesce(F.nullif("date_in_force_resolved", F.lit("")), "_resolved")).select(ops.columns)
+
+
 def defer_parts(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(operations on whole provisions, those on a unit below, left for later)."""
     part = F.coalesce(F.col("unit"), F.lit("")) != ""

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.core import acts, issue
+from chronofold.core import acts, issue, subdoc
 from chronofold.functions import text as t
 
 
@@ -180,6 +180,21 @@ def law_text(text: Column, needle: str, end_needle: str | None = None) -> Column
     return cut(text)
 
 
+def law_texts(issues: DataFrame, key: list[str], text: str, needle: str, end_needle: str) -> DataFrame:
+    """``law_text`` with each row's own title and end phrase (null or empty: none); rows without the title go."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, needles: pd.Series, stops: pd.Series) -> pd.Series:
+        return pd.Series([issue.law_text(x or "", n, e or None) if n else None for x, n, e in zip(texts, needles, stops, strict=True)], dtype=object)
+
+    return issues.select(*key, cut(F.col(text), F.col(needle), F.coalesce(F.col(end_needle), F.lit(""))).alias(text)).where(F.col(text).isNotNull())
+
+
+def plain_provisions(rows: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Provisions (key, n, para, text) of a plain text: from each ``§ N`` to the next, the first of an id; white space squeezed."""
+    return _mapped(rows, key, text, "para string, text string", issue.plain_provisions)
+
+
 def repaired_boundaries(rows: DataFrame, key: list[str], line: str = "line", para: str = "para") -> DataFrame:
     """Boundaries with ``kept``: sorted by line, those on a line taken already or of an id kept before are not kept.
 
@@ -213,6 +228,16 @@ def _mapped(rows: DataFrame, key: list[str], text: str, schema: str, of: Callabl
     return rows.select(*key, text).mapInPandas(run, f"{kinds}, n int, {schema}")
 
 
+def sentences(text: Column) -> Column:
+    """A text's sentences as an array, as the sub-document editor counts them; null stays null."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else subdoc.sentences(x))
+
+    return cut(text)
+
+
 def free_text_ops(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     """Operations (key, n, para, unit, action, new_text) of gazette acts."""
     return _mapped(rows, key, text, "para string, unit string, action string, new_text string", acts.free_text_ops)
@@ -223,6 +248,11 @@ def structured_ops(rows: DataFrame, key: list[str], raw: str, whole_only: bool =
     return _mapped(rows, key, raw, "target_law string, change_type string, instruction string, new_text string", lambda x: acts.structured_ops(x, whole_only))
 
 
+def replacement_blocks(rows: DataFrame, key: list[str], raw: str) -> DataFrame:
+    """Replacement blocks (key, n, instruction, block) of act XML, in the acts' order."""
+    return _mapped(rows, key, raw, "instruction string, block string", acts.replacement_blocks)
+
+
 def act_sections(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     return _mapped(rows, key, text, "target_law string, section string", acts.sections)
 

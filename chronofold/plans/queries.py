@@ -256,10 +256,9 @@ def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "at", F.md5(F.col("part").cast("binary")).alias("digest"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\.[ \n]+[^a-z \n]')) + 1 AS sentences FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\.\s+[^\p{Ll}\s]')) + (trim(text, ' ' || chr(10)) <> '')::INTEGER AS sentences FROM documents")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split(F.col("text"), r"(?<=\.)[ \n]+(?=[^a-z \n])")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("sentences"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(segment.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
 @query(r"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofold.core import schema
 from chronofold.functions import text as t
+from chronofold.operators import segment
 
 
 def bases(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +70,7 @@ def whole_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
     """Files (law, name, raw), one row each, the law's id from the name."""
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(t.law_id_of_name(name).alias("law"), name.alias("name"), F.decode("content", F.lit(encoding)).alias("raw"))
+    return files.select(t.law_id_of_name(name).alias("law"), name.alias("name"), F.decode("content", encoding).alias("raw"))
 
 
 def truth_index(spark: SparkSession, path: str) -> DataFrame:
@@ -89,3 +90,72 @@ def page_count(manifest: str):
 def candidates(current: DataFrame, structured: DataFrame, held: DataFrame) -> DataFrame:
     """Laws (law) with current text and a structured act, without those held out."""
     return current.select("law").intersect(structured.select("law")).join(held.select("law"), "law", "left_anti")
+
+
+# ---- bases and truth out of files
+
+
+def versioned_files(spark: SparkSession, path: str) -> DataFrame:
+    """Truth files (law, date, kind, raw) at ``<path>/<law>/<date>.html`` or ``.txt``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    return files.select(F.element_at(parts, -2).alias("law"), F.regexp_replace(name, "[.][^.]*$", "").alias("date"), F.element_at(F.split(name, "[.]"), -1).alias("kind"), F.decode("content", "UTF-8").alias("raw")).where("kind IN ('html', 'txt')")
+
+
+def truth_versions(files: DataFrame, index: DataFrame) -> DataFrame:
+    """Provisions (law, date, para, text) of the versions that an index (datokode, valid_from_date) lists.
+
+    Of a version's files (law, date, kind, raw) the export in HTML holds before the plain text. A version without a file
+    is left out, one listed twice counts once, and the first text of an id holds.
+    """
+    listed = index.select(F.col("datokode").alias("law"), F.col("valid_from_date").alias("date")).distinct()
+    best = files.join(listed, ["law", "date"]).groupBy("law", "date").agg(F.min_by(F.struct("kind", "raw"), F.struct(F.col("kind") != "html", "kind")).alias("f")).select("law", "date", "f.*")
+    key = ["law", "date"]
+    exported = segment.anchored_provisions(best.where("kind = 'html'"), key, "raw")
+    plain = segment.plain_provisions(best.where("kind = 'txt'"), key, "raw")
+    return exported.unionByName(plain).select(*key, "para", "text")
+
+
+def act_bases(files: DataFrame) -> DataFrame:
+    """Bases out of clean acts (law, raw XML)."""
+    rows = segment.structured_provisions(files, ["law"], "raw")
+    return _as_base(rows, ocr=False)
+
+
+def booklet_bases(pages: DataFrame, places: DataFrame) -> DataFrame:
+    """Bases out of booklets: ``places`` has (law, urn, page, span, title_needle, base_as_of), ``pages`` (urn, page, text).
+
+    The text begins at the title; a page that failed counts as empty; a booklet without its title has no base. What a
+    booklet prints is the law as of ``base_as_of``.
+    """
+    text = _spans(pages, places)
+    at = F.expr("instr(text, title_needle)")
+    found = text.where(at > 0).select("law", "base_as_of", F.substring(F.col("text"), at, F.length("text")).alias("text"))
+    return _as_base(segment.ocr_provisions(found, ["law", "base_as_of"], "text", repair=True), ocr=True)
+
+
+def issue_bases(pages: DataFrame, places: DataFrame) -> DataFrame:
+    """Bases out of gazette issues: ``places`` has (law, urn, page, span, title_needle, end_needle)."""
+    text = segment.law_texts(_spans(pages, places), ["law"], "text", "title_needle", "end_needle")
+    return _as_base(segment.ocr_provisions(text, ["law"], "text"), ocr=True)
+
+
+def first_base(*ranked: DataFrame) -> DataFrame:
+    """Every law's base from the first source that has one; sources are given in order of trust."""
+    out = ranked[0]
+    for more in ranked[1:]:
+        out = out.unionByName(more.join(out.select("law").distinct(), "law", "left_anti"))
+    return out
+
+
+def _spans(pages: DataFrame, places: DataFrame) -> DataFrame:
+    """Places with the text of their pages, one page below the other."""
+    rest = [c for c in places.columns if c not in ("law", "urn", "page", "span")]
+    wanted = places.select("law", "urn", *rest, F.explode(F.sequence(F.col("page"), F.col("page") + F.col("span") - 1)).alias("page"))
+    return segment.issue_text(wanted.join(pages.select("urn", "page", "text"), ["urn", "page"], "left"), ["law", *rest])
+
+
+def _as_base(rows: DataFrame, ocr: bool) -> DataFrame:
+    when = F.col("base_as_of") if "base_as_of" in rows.columns else F.lit(None).cast("string")
+    return rows.select("law", "para", F.col("n").alias("ordinal"), "text", F.lit(ocr).alias("is_ocr"), when.alias("base_as_of"))

@@ -21,15 +21,20 @@ def recovered(rows: DataFrame, good: str, unresolved: str, reason: str = "reason
     rows.where(F.col(reason).isNotNull()).write.mode("overwrite").parquet(unresolved)
 
 
-def append_missing(rows: DataFrame, path: str, key: list[str]) -> int:
-    """Appends the rows whose key a table does not have yet, and says how many; a run that is repeated adds nothing."""
+def append_missing(rows: DataFrame, path: str, key: list[str], batch: str) -> int:
+    """Writes the rows whose key no other batch has as a batch of their own, and says how many there are.
+
+    A batch is a folder ``batch=<name>`` that Spark commits as a whole and a repeated run writes anew, so a job that
+    failed or was retried leaves neither gaps nor repeats. Batches that run at the same time must not share keys.
+    """
     spark = rows.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    new = rows.join(spark.read.parquet(path).select(*key).distinct(), key, "left_anti") if there else rows
-    before = spark.read.parquet(path).count() if there else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        others = spark.read.parquet(path).where(F.col("batch").cast("string") != batch).select(*key).distinct()
+        rows = rows.join(others, key, "left_anti")
+    own = f"{path}/batch={batch}"
+    rows.write.mode("overwrite").parquet(own)
+    return spark.read.parquet(own).count()
 
 
 def histories(rows: DataFrame, path: str) -> None:

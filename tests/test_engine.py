@@ -182,7 +182,7 @@ def test_sources_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", None), (2, "b", "anchor-not-found")], "k int, v string, reason string")
     writers.recovered(rows, str(tmp_path / "good"), str(tmp_path / "lost"))
     assert spark.read.parquet(str(tmp_path / "good")).count() == spark.read.parquet(str(tmp_path / "lost")).count() == 1
-    assert [writers.append_missing(rows.drop("reason"), str(tmp_path / "t"), ["k"]) for _ in range(2)] == [2, 0]
+    assert [writers.append_missing(rows.drop("reason"), str(tmp_path / "t"), ["k"], b) for b in ("a", "a", "b")] == [2, 2, 0]
     catalogue = spark.createDataFrame([("a", "Norsk Lovtidend Avd. I 1991", "1991", 5, True), ("b", "Norsk Lovtidend Avd. II", "1991", 5, True), ("c", "Norsk Lovtidend Avd. I", "1875", 5, True), ("d", "Norsk Lovtidend Avd. I", "1995", 2, True)], "id string, title string, issued string, pageCount int, isDigital boolean")
     assert [(r["id"], r["year"]) for r in readers.worklist(catalogue).collect()] == [("d", 1995), ("a", 1991)]
 
