@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.text import is_annex, is_renumbering, is_repealed_stub
+from chronofold.operators import numbering
 from chronofold.operators.align import similarity
 
 STRICT, OCR, CONTAMINATED, GATE = 0.98, 0.90, 0.999, 0.97
@@ -113,9 +114,9 @@ def miss_table(missed: DataFrame) -> DataFrame:
 
 
 def examples(missed: DataFrame, most: int = 12) -> DataFrame:
-    """The worst misses of each bucket, ``most`` at most."""
-    worst = missed.groupBy("bucket").agg(F.slice(F.array_sort(F.collect_list(F.struct("sim", "law", "para"))), 1, most).alias("x"))
-    return worst.select("bucket", F.posexplode("x").alias("place", "x")).select("bucket", "place", "x.law", "x.para", "x.sim")
+    """The worst misses (bucket, place from 0, law, para, sim) of each bucket, ``most`` at most; ties by law and provision."""
+    worst = numbering.top_of_each(missed, ["bucket"], [F.col("sim"), F.col("law"), F.col("para")], most)
+    return worst.select("bucket", (F.col("place") - 1).alias("place"), "law", "para", "sim")
 
 
 def verdict(row, guards: dict[str, list[str]] | None = None) -> int:
