@@ -133,6 +133,8 @@ def ratio(a: str, b: str, autojunk: bool = False) -> float:
     """Ratcliff-Obershelp similarity, first argument first (it is not symmetric). Two empty texts are alike, one is not."""
     if not a or not b:
         return float(a == b)
+    if not autojunk and (a in b or b in a):  # the longest block is the shorter text, and nothing is left of it
+        return 2.0 * min(len(a), len(b)) / (len(a) + len(b))
     return difflib.SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.text import is_annex, is_renumbering, is_repealed_stub
-from chronofold.operators import numbering
-from chronofold.operators.align import similarity
+from chronofold.operators import numbering, oplog
+from chronofold.operators.align import similarity, spread
 
 STRICT, OCR, CONTAMINATED, GATE = 0.98, 0.90, 0.999, 0.97
 
@@ -21,7 +21,7 @@ def rate(hit: Column) -> Column:
 
 def compared(recon: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
     """``truth`` (key, text) with the reconstruction's text, empty where there is none, and their similarity."""
-    joined = truth.select(*key, F.col("text").alias("truth")).join(recon.select(*key, F.col("text").alias("recon")), key, "left")
+    joined = spread(truth.select(*key, F.col("text").alias("truth")), *key).join(spread(recon.select(*key, F.col("text").alias("recon")), *key), key, "left")
     return joined.withColumn("recon", F.coalesce("recon", F.lit(""))).withColumn("sim", similarity(F.col("recon"), F.col("truth")))
 
 
@@ -161,3 +161,17 @@ def unresolved_reasons(lost: DataFrame, reason: str = "reason") -> DataFrame:
     """Rows (reason, n, place) of operations that found no target: the most common reason first, ties by its name."""
     counts = lost.where(F.col(reason).isNotNull()).groupBy(reason).agg(F.count("*").alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), reason)))  # a row for each reason
+
+
+def replayed(ops: DataFrame, folded: DataFrame, current: DataFrame) -> DataFrame:
+    """One row (law, n_ops, reach, scored, matched, flagged) for each law of a log typed by kind that was folded from nothing.
+
+    Within reach are provisions whose last operation gives their whole text; those that the current text has are scored.
+    """
+    reach = oplog.reconstructable(ops).select("law", "para")
+    scored = compared(folded.select("law", "para", "text"), current.join(reach, ["law", "para"], "left_semi"), ["law", "para"])
+    count = lambda rows, name: rows.groupBy("law").agg(F.count("*").alias(name))
+    hits = scored.groupBy("law").agg(F.count("*").alias("scored"), F.count(F.when(F.col("sim") >= STRICT, 1)).alias("matched"))
+    flagged = folded.groupBy("law").agg(F.sum(F.coalesce(F.size("flags"), F.lit(0))).cast("long").alias("flagged"))
+    out = count(ops, "n_ops").join(count(reach, "reach"), "law", "left").join(hits, "law", "left").join(flagged, "law", "left")
+    return out.select("law", "n_ops", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("reach", "scored", "matched", "flagged")))

@@ -38,20 +38,20 @@ def as_of_join(queries: DataFrame, versions: DataFrame, key: list[str], at: str,
     return held.select("_q.*", *(F.col(f"_last.{c}").alias(c if c not in queries.columns else f"version_{c}") for c in kept))
 
 
-def histories(folded: DataFrame, base_dates: DataFrame) -> DataFrame:
+def histories(folded: DataFrame, base_dates: DataFrame, bases: DataFrame) -> DataFrame:
     """Rows (law, para, versions) of a fold: the baseline, then each date's last text that differs from the one before.
 
-    ``base_dates`` has (law, enacted) and the fold's base is what held then. A version has ``date``, ``text`` and
-    ``src``, the operations of that date. Absent states are left out, as if nothing had lain between.
+    ``base_dates`` has (law, enacted), ``bases`` (law, para, text) what the fold began with; operations up to the law's
+    enactment belong to the baseline. A version has ``date``, ``text`` and ``src``, the operations that made it; a baseline
+    has none. A text that comes back after a repeal is a version again, the absence between is not.
     """
-    from_base = folded.join(base_dates, "law")
-    rows = from_base.select("law", "para", "enacted", F.posexplode_outer("versions").alias("n", "v"))
-    dated = rows.groupBy("law", "para", "enacted", F.col("v.date").alias("date")).agg(
-        F.max_by("v.text", "n").alias("text"),
-        F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("n", act_label(F.col("v.act")).alias("act"), F.trim(F.coalesce("v.instruction", F.lit(""))).alias("ins"), display_text(F.col("v.new_text")).alias("txt"))))).alias("src"),
-    )
-    texts = dated.withColumn("text", display_text(F.col("text"))).where("date IS NOT NULL AND text <> ''")
-    changed = changes_only(texts, ["law", "para"], ["date"], "text")
+    own = bases.groupBy("law", "para").agg(F.min("text").alias("base"))
+    rows = folded.where("para IS NOT NULL").join(own, ["law", "para"], "left").join(base_dates, "law").select("law", "para", "enacted", F.posexplode(F.concat(F.array(F.struct(F.lit("").alias("date"), F.col("base").alias("text"), *(F.lit(None).cast("string").alias(c) for c in ("act", "instruction", "new_text")))), F.coalesce("versions", F.array()))).alias("n", "v"))
+    late = F.col("v.date") > F.col("enacted")
+    src = F.struct("n", act_label(F.col("v.act")).alias("act"), F.trim(F.coalesce("v.instruction", F.lit(""))).alias("ins"), display_text(F.col("v.new_text")).alias("txt"))
+    dated = rows.groupBy("law", "para", F.when(late, F.col("v.date")).otherwise(F.col("enacted")).alias("date")).agg(
+        display_text(F.max_by(F.coalesce("v.text", F.lit("")), "n")).alias("text"), F.array_sort(F.collect_list(F.when(late, src))).alias("src"))
+    changed = changes_only(dated, ["law", "para"], ["date"], "text").where("text <> ''")
     return changed.groupBy("law", "para").agg(F.array_sort(F.collect_list(F.struct("date", "text", F.transform("src", lambda s: F.struct(s["act"].alias("act"), s["ins"].alias("ins"), s["txt"].alias("txt"))).alias("src")))).alias("versions"))
 
 

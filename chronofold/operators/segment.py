@@ -330,7 +330,10 @@ def verified_ops(sections: DataFrame, quoted: DataFrame, key: list[str]) -> Data
 
 
 def located_targets(texts: DataFrame, mentions: DataFrame, key: list[str]) -> DataFrame:
-    """Sections (key, target_law, section, reason, anchor, cite) of quoted mentions (key, n, anchor, cite): found ones have a section, others a reason."""
+    """Sections (key, target_law, section, place, reason, anchor, cite) of quoted mentions (key, n, anchor, cite).
+
+    Found ones have a section and its place among the key's, from 0; the others a reason.
+    """
     lists = mentions.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "anchor", "cite"))).alias("mentions"))
     both = texts.select(*key, "text").join(lists, key)
     kinds = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in key)
@@ -340,8 +343,9 @@ def located_targets(texts: DataFrame, mentions: DataFrame, key: list[str]) -> Da
             out = []
             for row in frame[[*key, "text", "mentions"]].itertuples(index=False):
                 found, lost = acts.located_targets(row[-2] or "", [(m["anchor"] or "", m["cite"] or "") for m in row[-1]])
-                out += [(*row[:-2], law, section, None, None, None) for law, section in found]
-                out += [(*row[:-2], None, None, *why) for why in lost]
-            yield pd.DataFrame(out, columns=[*key, "target_law", "section", "reason", "anchor", "cite"])
+                out += [(*row[:-2], law, section, k, None, None, None) for k, (law, section) in enumerate(found)]
+                out += [(*row[:-2], None, None, None, *why) for why in lost]
+            frame = pd.DataFrame(out, columns=[*key, "target_law", "section", "place", "reason", "anchor", "cite"])
+            yield frame.astype({"place": "Int32"})
 
-    return both.mapInPandas(run, f"{kinds}, target_law string, section string, reason string, anchor string, cite string")
+    return both.mapInPandas(run, f"{kinds}, target_law string, section string, place int, reason string, anchor string, cite string")

@@ -84,9 +84,9 @@ def test_histories_and_redlines(spark):
     ops = oplog.load(raw(spark, [("1999-01-01-1", "L", "§ 1", "change", "a", "§ 1. One b.", "2001", 1), ("1999-01-01-2", "L", "§ 1", "repeal", "§ 1 oppheves", None, "2002", 1), ("1999-01-01-3", "L", "§ 1", "add", "c", "§ 1. One b.", "2003", 1)]), 4)
     folded = fold.fold(bases, ops)
     assert state(fold.provisions(folded)) == {("L", "§1"): "One b.", ("L", "§2"): "Two."}
-    made = history.histories(folded, spark.createDataFrame([("L", "1990-01-01")], "law string, enacted string"))
+    made = history.histories(folded, spark.createDataFrame([("L", "1990-01-01")], "law string, enacted string"), bases)
     versions = {r["para"]: [(v["date"], v["text"]) for v in r["versions"]] for r in made.collect()}
-    assert versions == {"§1": [("2001", "One b.")]}
+    assert versions == {"§1": [("1990-01-01", "One."), ("2001", "One b."), ("2003", "One b.")], "§2": [("1990-01-01", "Two.")]}
     assert history.redline_of("a b c", "a x c") == [("same", "a"), ("gone", "b"), ("new", "x"), ("same", "c")]
     assert history.redline_of("hello worlds", "hello world") == [("same", "hello"), ("same", "world"), ("gone", "s")]
     rng = random.Random(1)
