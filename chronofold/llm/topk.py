@@ -119,6 +119,18 @@ def _unpacked(batch: pa.RecordBatch, row: int, first: int) -> tuple[np.ndarray,
     return ids, vectors.reshape(len(ids), batch.column(0)[row].as_py()), floors
 
 
+def _probe(rows: DataFrame) -> DataFrame:
+    """One block (n, i, w, f) for each of the ``GROUPS`` lengths with the most rows among ``BLOCK`` drawn ones.
+
+    A block closes at ``BYTES``, so wide vectors make several of a length; only the fullest stays, as each query group
+    must meet one. Lengths without a block have no floors, which loses nothing but speed.
+    """
+    drawn = packed(rows.orderBy(F.xxhash64("id"), "id").limit(BLOCK).coalesce(1), BLOCK)
+    first = drawn.groupBy("n").agg(F.max_by(F.struct("ids", "vectors", "floors"), F.struct(F.length("ids"), "ids")).alias("b"))
+    most = first.orderBy(F.desc(F.length("b.ids")), "n").limit(GROUPS)
+    return most.select("n", F.col("b.ids").alias("i"), F.col("b.vectors").alias("w"), F.col("b.floors").alias("f"))
+
+
 def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """The ``k`` rows of the highest integer inner products with each query row: query_id, rank, vec_id, score.
 
@@ -138,7 +150,7 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), whole(F.col(vector)).alias("v"), F.coalesce(is_query, F.lit(False)).alias(q))
     rows = cut(rows.where("v IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"), F.max(q).alias("q")))
     blocks = cut(packed(rows, BLOCK))
-    probe = packed(rows.orderBy(F.xxhash64("id"), "id").limit(BLOCK).coalesce(1), BLOCK).select("n", F.col("ids").alias("i"), F.col("vectors").alias("w"), F.col("floors").alias("f"))
+    probe = _probe(rows)
 
     def floors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

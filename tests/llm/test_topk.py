@@ -37,6 +37,31 @@ def test_matches_brute_force_over_many_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize(("width", "n"), [(64, 1500), (256, 3000), (768, 1500)])
+def test_wide_vectors_fill_several_blocks(spark, monkeypatch, width, n):
+    """A drawn block is closed by its bytes from 129 components on: a query still meets one of them only."""
+    if width == 64:
+        monkeypatch.setattr(topk, "BYTES", 1 << 17)
+    rng = np.random.default_rng(width)
+    given = np.round(rng.normal(0, 1, (n, width)), 3).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(given)], "vec_id long, embedding array<float>")
+    found = sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0).collect()))
+    whole = np.floor(256 * given.astype(float)).astype(np.int64)
+    want = []
+    for q in range(0, n, 50):
+        scores = whole @ whole[q]
+        best = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert found == want
+
+
+def test_several_lengths_draw_a_block_each(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUPS", 2)
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(x) for x in rng.normal(0, 0.3, 3 + k % 4).astype(np.float32)]) for k in range(300)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_odd_rows(spark):
     one = [0.5, -0.25]
     rows = [(0, one), (1, one), (2, [0.5, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, None), (None, one), (50, []), (51, []), (100, [1.0]), (7, [0.0, 0.0]), (1, [0.1, 0.1]), (8, [2.0, 3.0]), (150, [0.0, 0.0]), (8, [2.0, 3.0])]
