@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import licenses, media, mixing, packing, quality, sharding, simhash, topk, urls, warc
+from chronofold.llm import centroids, decontam, filter_audit, licenses, media, mixing, packing, quality, sharding, simhash, topk, urls, warc
 from chronofold.llm._common import table
 
 
@@ -53,9 +53,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(table(spark, sf_dir, "documents")))
 
 
+def op11_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judged(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_quality, op3_licenses, op4_simhash, op5_warc, op6_sharding, op7_urls, op8_packing, op9_mixing, op10_media)}
+    return {f.__name__: f for f in (op1_topk, op2_quality, op3_licenses, op4_simhash, op5_warc, op6_sharding, op7_urls, op8_packing, op9_mixing, op10_media, op11_decontam, op12_centroids, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.SQL, "op3_licenses": licenses.sql(), "op5_warc": warc.SQL, "op6_sharding": sharding.SQL, "op9_mixing": mixing.SQL}
+    return {"op1_topk": topk.SQL, "op3_licenses": licenses.sql(), "op5_warc": warc.SQL, "op6_sharding": sharding.SQL, "op9_mixing": mixing.SQL, "op11_decontam": decontam.SQL, "op12_centroids": centroids.sql(), "op13_filter_audit": filter_audit.SQL}
