@@ -372,10 +372,10 @@ scored AS (
 """
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(reconstruction, current text, provenance of laws, the turns with what became of them)."""
+def _turns(spark: SparkSession, sf_dir: str, longer: Column | str = " ny") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(reconstruction, current text, provenance of laws, the turns with what became of them); a fifth is ``longer`` by so much."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", ((F.col("conv_id") + F.col("turn")) % 5).alias("k"), F.col("conv_id").cast("string").alias("law"), F.when(F.col("turn") == 3, "§a3").otherwise(join("§", F.col("turn").cast("string"))).alias("para"))
-    wording = F.when(F.col("k") == 0, F.col("text")).when(F.col("k") == 1, join(F.col("text"), " ny")).otherwise("§ §")
+    wording = F.when(F.col("k") == 0, F.col("text")).when(F.col("k") == 1, join(F.col("text"), longer)).otherwise("§ §")
     recon = rows.where("k NOT IN (2, 4)").select("law", "para", wording.alias("text"))
     current = rows.select("law", "para", F.when(F.col("k") == 4, "(Opphevet)").otherwise(F.col("text")).alias("text"))
     return recon, current, rows.select("law", (F.col("conv_id") % 2 == 0).alias("is_ocr")).distinct(), rows
@@ -417,16 +417,21 @@ def turn_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_TURNS + """
-, facts AS (SELECT *, turn % 2 = 0 AS has, conv_id % 4 = 0 AS renumbered, conv_id % 3 = 0 AS part, conv_id % 5 < 2 AS flag FROM scored)
+, facts AS (
+  SELECT * REPLACE (CASE WHEN k = 1 AND conv_id % 3 = 1 AND n > 0 THEN 2.0::DOUBLE * n / (2 * n + 3 * greatest(1, n // 10)) ELSE sim END AS sim),
+         turn % 2 = 0 AS has, conv_id % 4 = 0 AS renumbered, conv_id % 3 = 0 AS part, conv_id % 7 < 2 AS flag FROM scored)
 SELECT law, para, CASE WHEN bare THEN CASE WHEN NOT has THEN 'base-missing' WHEN flag AND renumbered THEN 'engine-gap:struct' WHEN flag AND part THEN 'engine-gap:ledd' ELSE 'base-missing' END
-  WHEN flag AND has AND renumbered THEN 'engine-gap:struct' WHEN flag THEN 'engine-gap:ledd' WHEN NOT has THEN CASE WHEN sim < 0.9 THEN 'uncaptured-amdt' ELSE 'base-ocr-noise' END
-  WHEN sim < 0.9 THEN 'applied-wrong' ELSE 'applied-ocr-noise' END AS bucket FROM facts WHERE sim < 0.98""")
+  WHEN flag AND has AND renumbered THEN 'engine-gap:struct' WHEN flag THEN 'engine-gap:ledd' WHEN NOT has THEN CASE WHEN sim < 0.85 THEN 'uncaptured-amdt' ELSE 'base-ocr-noise' END
+  WHEN sim < 0.85 THEN 'applied-wrong' ELSE 'applied-ocr-noise' END AS bucket FROM facts WHERE sim < bar""")
 def turn_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recon, current, _, rows = _turns(spark, sf_dir)
+    """Each law's misses at its own bar; of a third of the laws the longer wordings are so by about a third, which OCR does not explain."""
+    grown = F.greatest(F.lit(1), F.floor(F.length(t.canonical(F.col("text"))) / 10)).cast("int")
+    recon, current, ocr, rows = _turns(spark, sf_dir, F.when(F.col("conv_id") % 3 == 1, F.repeat(F.lit(" ny"), grown)).otherwise(" ny"))
     said = F.when(F.col("conv_id") % 4 == 0, "§ 1 blir § 2").otherwise("§ 1 skal lyde")
     ops = rows.where("turn % 2 = 0").select("law", "para", F.when(F.col("conv_id") % 3 == 0, "subprovision").otherwise("replace").alias("kind"), said.alias("instruction"))
-    flags = rows.where("conv_id % 5 < 2").select("law", "para")
-    return score.misses(score.compared(recon, current, ["law", "para"]), current, ops, flags, F.lit(score.STRICT)).select("law", "para", "bucket")
+    flags = rows.where("conv_id % 7 < 2").select("law", "para")
+    scored = score.compared(recon, current, ["law", "para"]).join(ocr, "law")
+    return score.misses(scored, current, ops, flags, score.tau(F.col("is_ocr"))).select("law", "para", "bucket")
 
 
 @query(_TURNS + "SELECT law, para FROM scored WHERE NOT bare AND sim >= 0.999 AND (conv_id % 2 = 1 OR turn % 2 = 0)")

@@ -447,6 +447,23 @@ def renumber_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.renumbered(align.mutual_best(first, later, 0.9, ["conv_id"]))
 
 
+def _similar_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return align.classes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 0.9)
+
+
+@query()
+def document_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal wording, and how many other classes are at least 0.9 like it; all texts whole, across sources."""
+    members = _similar_documents(spark, sf_dir)[0]
+    return members.select(F.col("id").alias("doc_id"), "class_id", "links")
+
+
+@query()
+def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of classes behind ``document_similarity`` with their ratios."""
+    return _similar_documents(spark, sf_dir)[1].withColumn("score", F.round("score", 4))
+
+
 @query("""
 SELECT t.conv_id, t.turn, md5(regexp_replace(b.text, '\\s+', '', 'g')) AS before, md5(regexp_replace(t.text, '\\s+', '', 'g')) AS after FROM conversations t JOIN conversations b ON b.conv_id = t.conv_id AND b.turn + 1 = t.turn""")
 def redline(spark: SparkSession, sf_dir: str) -> DataFrame:
