@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.core.replay import replay
-from chronofold.operators.oplog import order_struct
+from chronofold.core.replay import outcome, outcome_by_kind, replay
+from chronofold.core.wording import body_of
+from chronofold.functions.text import without_heading
+from chronofold.operators.numbering import kept
+from chronofold.operators.oplog import as_of, order_struct
+from chronofold.session import bounded_batches
 
 
 def whole_state(ops: DataFrame, key: list[str], order: Column, is_set: Column, is_insert: Column, is_delete: Column, value: str, base: DataFrame | None = None) -> DataFrame:
@@ -71,6 +76,84 @@ def fold(base: DataFrame, ops: DataFrame, by_kind: bool = False) -> DataFrame:
     return still.unionByName(both.where("log IS NOT NULL").mapInPandas(run, _RESULT))
 
 
+def _effect(by_kind: bool) -> Column:
+    """What an operation does to a text, where that can be told from itself: set, del or none; else edit.
+
+    Each of the first three is told only where the transition of ``core.replay`` is sure to do the same.
+    """
+    said, payload, named = F.coalesce("instruction", F.lit("")), F.coalesce("new_text", F.lit("")), F.col("para") != ""
+    if by_kind:
+        kind = F.coalesce("kind", F.lit(""))
+        whole = kind.isin("replace", "add")
+        return F.when(whole & (payload != ""), "set").when(kind == "repeal", "del").when(kind == "subprovision", "edit").otherwise("none")
+    change = F.coalesce("change_type", F.lit(""))
+    part = said.contains("ledd") | said.contains("punktum") | said.contains("bokstav") | said.contains("nr")
+    heading, headed = said.contains("overskrift"), payload.rlike(r"^[ \t\r\n\f\x0B]*§")
+    idle = ~payload.rlike(r"^(?U)[\s\x1C-\x1F]*§") & (~change.isin("add", "change", "repeal") | (change.isin("add", "change") & ((payload == "") | heading)))
+    return F.when((change == "repeal") & named & ~part, "del").when((change != "repeal") & named & headed & ~heading, "set").when(idle, "none").otherwise("edit")
+
+
+def state_at(base: DataFrame, ops: DataFrame, date: str | None = None, by_kind: bool = False) -> DataFrame:
+    """Rows (law, para, text) of the provisions that are there after the log up to ``date``: ``fold``'s texts without flags and versions.
+
+    The log is compacted before it is folded. The last operation that gives or removes a whole provision is a maximum,
+    taken in the tasks first; what came before it no longer matters, and operations that change no text are left out.
+    Only what is behind it goes to the editor: sorted by provision and order, and read as a stream that holds one text
+    at a time, so a provision's log may be of any length. Provisions without such a tail never leave the JVM.
+    """
+    change = "kind" if by_kind else "change_type"
+    key = ["law", "para"]
+    rows = kept(as_of(ops, date).where("para IS NOT NULL").select(*key, order_struct(F.col(change).alias("change"), "instruction", "new_text").alias("_at"), _effect(by_kind).alias("_do")).where("_do <> 'none'"))
+    last = rows.where("_do <> 'edit'").groupBy(*key).agg(F.max(F.struct("_at", "_do")).alias("_last"))
+    first = F.min_by("text", "ordinal") if "ordinal" in base.columns else F.min("text")
+    own = base.where("para IS NOT NULL").groupBy(*key).agg(first.alias("text"))
+    seeds = _beside(own, last, key, "full_outer").select(*key, F.when(F.col("_last").isNull(), F.col("text")).when(F.col("_last._do") == "set", F.col("_last._at.new_text")).alias("text"), F.coalesce(F.col("_last._do") == "set", F.lit(False)).alias("set"))
+    tail = kept(_beside(rows.where("_do = 'edit'"), last, key, "left").where("_last IS NULL OR _at > _last._at").select(*key, "_at"))
+    marked = _beside(seeds, tail.groupBy(*key).agg(F.count("*").alias("_n")), key, "full_outer")
+    # blanks that only Python takes for such
+    python = F.col("_n").isNotNull() | (F.col("set") & F.col("text").rlike("[\x1C-\x1F]"))
+    done = marked.where(~python).select(*key, F.when(F.col("set"), F.col("text") if by_kind else without_heading(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    none = F.lit(None).cast("string")
+    begin = marked.where(python).select(*key, F.lit(None).cast(tail.schema["_at"].dataType).alias("_at"), "text", F.coalesce("set", F.lit(False)).alias("set"))
+    lines = begin.unionByName(tail.select(*key, "_at", none.alias("text"), F.lit(False).alias("set"))).repartition(*key).sortWithinPartitions(*key, F.col("_at").asc_nulls_first())
+    sent = lines.select(*key, F.col("_at").isNull().alias("begins"), "text", "set", "_at.change", "_at.instruction", "_at.new_text")
+    bounded_batches(base.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, text, out = None, None, []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(3)], ["law", "para", "text"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["begins"]:
+                    if here is not None:
+                        out.append((*here, text))
+                    here, text = (row["law"], row["para"]), row["text"]
+                    if row["set"] and not by_kind:
+                        text = body_of(text)
+                elif by_kind:
+                    text = outcome_by_kind(text, row["change"], row["instruction"], row["new_text"])[0]
+                else:
+                    text = outcome(text, row["para"], row["change"], row["instruction"], row["new_text"])[0]
+            if out:
+                yield made()
+                out = []
+        if here is not None:
+            out.append((*here, text))
+            yield made()
+
+    return done.unionByName(sent.mapInArrow(run, "law string, para string, text string")).where("text IS NOT NULL")
+
+
+def _beside(x: DataFrame, y: DataFrame, key: list[str], how: str) -> DataFrame:
+    """A join by a key of which nulls are equal."""
+    theirs = y.select(*(F.col(c).alias(f"_{c}") for c in key), *(c for c in y.columns if c not in key))
+    joined = x.join(theirs, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], how)
+    return joined.select(*(F.coalesce(c, f"_{c}").alias(c) for c in key), *(c for c in joined.columns if c not in key and c not in {f"_{k}" for k in key}))
+
+
 def flags(folded: DataFrame) -> DataFrame:
     return folded.select("law", "para", F.explode("flags").alias("f")).select("law", "para", "f.why", "f.date", "f.instruction")
 

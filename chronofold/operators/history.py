@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import html
 import itertools
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.text import act_label, display_text
+from chronofold.operators.numbering import kept
 
 
 def changes_only(rows: DataFrame, key: list[str], order: list[Column | str], value: str) -> DataFrame:
@@ -27,15 +29,29 @@ def validity(rows: DataFrame, key: list[str], start: str, order: list[Column | s
 def as_of_join(queries: DataFrame, versions: DataFrame, key: list[str], at: str, start: str, order: list[str]) -> DataFrame:
     """Each query row with the last version of its key that starts at or before ``at``; versions' columns are null without one.
 
-    Both sides go through one sort by key and time, with the last version carried along; so a key with many queries
-    and many versions makes no pairs.
+    Both sides are sorted together by key and time, in ranges that do not end with a key: a key with most of the rows is
+    the work of many tasks. Each range carries its own last version along, and what the ranges before it leave for its
+    first key comes from a table of one row a range. A key with many queries and many versions makes no pairs.
     """
-    kept = [c for c in versions.columns if c not in key]
-    left = queries.select(*key, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*queries.columns).alias("_q"), F.lit(None).cast(versions.select(F.struct(*kept)).schema[0].dataType).alias("_v"), *(F.lit(None).cast(versions.schema[c].dataType).alias(f"_o{k}") for k, c in enumerate(order)))
-    right = versions.select(*key, F.col(start).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(queries.select(F.struct(*queries.columns)).schema[0].dataType).alias("_q"), F.struct(*kept).alias("_v"), *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)))
-    line = Window.partitionBy(*key).orderBy("_t", "_side", *(f"_o{k}" for k in range(len(order)))).rowsBetween(Window.unboundedPreceding, 0)
-    held = left.unionByName(right).withColumn("_last", F.last("_v", ignorenulls=True).over(line)).where("_side = 1")
-    return held.select("_q.*", *(F.col(f"_last.{c}").alias(c if c not in queries.columns else f"version_{c}") for c in kept))
+    columns = [c for c in versions.columns if c not in key]
+    orders = [f"_o{k}" for k in range(len(order))]
+    tie = F.monotonically_increasing_id().alias("_tie")  # rows alike in all else do not meet in one range
+    left = queries.select(*key, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*queries.columns).alias("_q"), F.lit(None).cast(versions.select(F.struct(*columns)).schema[0].dataType).alias("_v"), *(F.lit(None).cast(versions.schema[c].dataType).alias(o) for o, c in zip(orders, order, strict=True)), tie)
+    right = versions.select(*key, F.col(start).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(queries.select(F.struct(*queries.columns)).schema[0].dataType).alias("_q"), F.struct(*columns).alias("_v"), *(F.col(c).alias(o) for o, c in zip(orders, order, strict=True)), tie)
+    line = [*key, "_t", "_side", *orders, "_tie"]
+    dealt = left.unionByName(right).repartitionByRange(*line).sortWithinPartitions(*line)
+    held = kept(dealt.select(F.struct(*key).alias("_k"), "_side", "_q", "_v", F.monotonically_increasing_id().alias("_row"))).withColumn("_range", F.shiftright("_row", 33))
+    own = Window.partitionBy("_range", "_k").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    local = held.withColumn("_last", F.last("_v", ignorenulls=True).over(own)).where("_side = 1")
+    version = F.when(F.col("_side") == 0, F.col("_row"))
+    ends = held.groupBy("_range").agg(F.min_by("_k", "_row").alias("_first"), F.max_by("_k", "_row").alias("_end"), F.max_by(F.struct("_k", "_v"), version).alias("_had"))
+    left_over = F.when(F.col("_had._k").eqNullSafe(F.col("_end")), F.col("_had._v"))
+    so_far = F.last(left_over, ignorenulls=True).over(Window.partitionBy("_end").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    before = Window.orderBy("_range")  # a row for each range
+    carried = ends.withColumn("_left", so_far).select("_range", "_first", F.lag("_end").over(before).alias("_before"), F.lag("_left").over(before).alias("_carry"))
+    carried = carried.where(F.col("_before").eqNullSafe(F.col("_first")) & F.col("_carry").isNotNull()).select("_range", F.col("_first").alias("_k"), "_carry")
+    found = local.join(F.broadcast(carried), (local["_range"] == carried["_range"]) & local["_k"].eqNullSafe(carried["_k"]), "left").select("_q", F.coalesce("_last", "_carry").alias("_last"))
+    return found.select("_q.*", *(F.col(f"_last.{c}").alias(c if c not in queries.columns else f"version_{c}") for c in columns))
 
 
 def histories(folded: DataFrame, base_dates: DataFrame, bases: DataFrame) -> DataFrame:
@@ -55,32 +71,74 @@ def histories(folded: DataFrame, base_dates: DataFrame, bases: DataFrame) -> Dat
     return changed.groupBy("law", "para").agg(F.array_sort(F.collect_list(F.struct("date", "text", F.transform("src", lambda s: F.struct(s["act"].alias("act"), s["ins"].alias("ins"), s["txt"].alias("txt"))).alias("src")))).alias("versions"))
 
 
+#: A token of at least so many places in a text keeps them as one number between rows.
+OFTEN = 64
+
+
 def longest_common(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Steps (same, gone or new, token) of a longest common subsequence; of equal ways the one that drops from ``a`` first."""
+    """Steps (same, gone or new, token) of a longest common subsequence; of equal ways the one that drops from ``a`` first.
+
+    A row of the table of lengths is one whole number, with a zero wherever the length grows, so a row of 100,000 tokens
+    is 12 kB. Rows are made from the end, but only one in each stretch of about the square root of their number is kept;
+    the way through the table is walked from the front, a stretch at a time, for which its rows are made again.
+    """
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
     x, y = a[start:], b[start:]
-    # ahead[i][j]: the length for x[i:] and y[j:]
-    ahead = [[0] * (len(y) + 1)]
-    for token in reversed(x):
-        below, row = ahead[-1], [0] * (len(y) + 1)
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if token == y[j] else max(below[j], row[j + 1])
-        ahead.append(row)
-    ahead.reverse()
-    out, i, j = [("same", t) for t in a[:start]], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
+    n, m = len(x), len(y)
+    places: dict[str, list[int]] = {}
+    for j, token in enumerate(y):
+        places.setdefault(token, []).append(m - 1 - j)
+    whole, often = (1 << m) - 1, {}
+
+    def mask(token: str) -> int:
+        if token in often:
+            return often[token]
+        at = places.get(token, ())
+        bits = bytearray(m // 8 + 1) if at else b""
+        for p in at:
+            bits[p >> 3] |= 1 << (p & 7)
+        made = int.from_bytes(bits, "little")
+        if len(at) >= OFTEN:
+            often[token] = made
+        return made
+
+    def above(row: int, token: str) -> int:
+        hit = row & mask(token)
+        return ((row + hit) | (row - hit)) & whole
+
+    # row i tells the lengths for x[i:]: for y[j:] the zeros among its lowest m - j bits
+    stretch = max(1, math.isqrt(n))
+    saved, row = {n: whole}, whole
+    for i in range(n - 1, -1, -1):
+        row = above(row, x[i])
+        if i % stretch == 0:
+            saved[i] = row
+    out, i, j, low, rows = [("same", t) for t in a[:start]], 0, 0, -1, []
+    while i < n and j < m:
+        if x[i] == y[j]:
             out.append(("same", x[i]))
             i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and ahead[i + 1][j] >= ahead[i][j + 1]):
+            continue
+        if i // stretch != low:
+            low = i // stretch
+            top = min((low + 1) * stretch, n)
+            rows = [saved[top]]
+            for k in range(top - 1, low * stretch - 1, -1):
+                rows.append(above(rows[-1], x[k]))
+            rows.reverse()
+        width = m - j
+        here = i - low * stretch
+        below = width - (rows[here + 1] & ((1 << width) - 1)).bit_count()
+        right = width - 1 - (rows[here] & ((1 << (width - 1)) - 1)).bit_count()
+        if below >= right:
             out.append(("gone", x[i]))
             i += 1
         else:
             out.append(("new", y[j]))
             j += 1
-    return out
+    return out + [("gone", t) for t in x[i:]] + [("new", t) for t in y[j:]]
 
 
 def _runs(steps: list[tuple[str, str]], between: str) -> list[tuple[str, str]]:

@@ -14,7 +14,7 @@ from chronofold.functions import text as t
 from chronofold.operators import fold, history, oplog, register, segment
 from chronofold.plans.builds import WORDS, _documents, digest
 from chronofold.plans.queries import query, table
-from chronofold.plans.reconstruct import reconstruct
+from chronofold.plans.reconstruct import reconstruct, state
 from chronofold.plans.recover import recover
 from chronofold.sources import readers, writers
 
@@ -91,7 +91,7 @@ UNION ALL SELECT doc_id, '§2', md5(new) FROM parts
 UNION ALL SELECT doc_id, '§5', md5('Tittel' || chr(10) || '(1) Frist er ' || doc_id || ' dager.' || chr(10) || '(2) Gebyr er ' || doc_id || ' 5 kroner.' || chr(10) || '(3) Klage sendes departementet.') FROM parts""")
 def edited_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     bases, raw = _edited(spark, sf_dir)
-    return reconstruct(bases, [raw], recovery=2)[0].select(F.col("law").cast("long").alias("doc_id"), "para", digest("text").alias("digest"))
+    return state(bases, [raw], recovery=2).select(F.col("law").cast("long").alias("doc_id"), "para", digest("text").alias("digest"))
 
 
 @query("""
@@ -478,7 +478,7 @@ def _nothing(spark: SparkSession) -> DataFrame:
 
 @query(_OLD_LOG + "SELECT law, para, 'verdi ' || line_no AS text FROM state WHERE kind <> 'repeal'")
 def older_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.provisions(fold.fold(_nothing(spark), _old_log(spark, sf_dir), by_kind=True))
+    return fold.state_at(_nothing(spark), _old_log(spark, sf_dir), by_kind=True)
 
 
 @query(_OLD_LOG + """
