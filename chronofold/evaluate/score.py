@@ -158,9 +158,19 @@ def render(row) -> str:
     return f"| {row['matched']}/{row['total']} | {row['matched_rate']:.4f} | strict {row['strict']}/{row['total']} | annexes {row['annex']} | repealed {row['repealed']} | {'PASS' if verdict(row) == 0 else 'IN PROGRESS'} |"
 
 
+def histogram(rows: DataFrame, by: str) -> DataFrame:
+    """Rows (``by``, n): how many rows there are of each kind, null being one."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def coverage(versions: DataFrame) -> DataFrame:
+    """One row (laws, versions) over truth versions (law, date): distinct laws, and distinct versions of them."""
+    return versions.select("law", "date").distinct().agg(F.countDistinct("law").alias("laws"), F.count("*").alias("versions"))
+
+
 def unresolved_reasons(lost: DataFrame, reason: str = "reason") -> DataFrame:
     """Rows (reason, n, place) of operations that found no target: the most common reason first, ties by its name."""
-    counts = lost.where(F.col(reason).isNotNull()).groupBy(reason).agg(F.count("*").alias("n"))
+    counts = histogram(lost.where(F.col(reason).isNotNull()), reason)
     return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), reason)))  # a row for each reason
 
 

@@ -43,23 +43,25 @@ NOWHERE = 64
 _RESULT = "law string, para string, text string, flags array<struct<why: string, date: string, instruction: string>>, versions array<struct<date: string, text: string, act: string, instruction: string, new_text: string>>"
 
 
-def fold(base: DataFrame, ops: DataFrame, by_kind: bool = False) -> DataFrame:
+def fold(base: DataFrame, ops: DataFrame, by_kind: bool = False, keyed: bool = False) -> DataFrame:
     """Rows (law, para, text, flags, versions) of every provision that the base (law, para, text) or the log names.
 
     One exchange by (law, para) brings a provision and its log together; no transition reads another provision. The
     log is sorted in the array; edits below the provision need the sub-document editor, so this runs in Arrow
     batches of whole provisions. Provisions without operations never leave the JVM. ``text`` is null where a
     provision is absent. Operations without a provision are flagged under a null para. Of a provision that the base
-    repeats the first by ``ordinal`` holds, or the least text where there is no such column.
+    repeats the first by ``ordinal`` holds, or the least text where there is no such column. With ``keyed`` the law and
+    provision of every row are given; two tables in as many buckets by (law, para) are then folded where they are.
     """
     change = "kind" if by_kind else "change_type"
     item = order_struct(F.col(change).alias("change"), "instruction", "new_text")
     # operations without a provision are only flagged, each by itself, so they need not meet
     salt = F.when(F.col("para").isNull(), F.pmod(F.xxhash64("act", "date", "line_no", "piece_no"), F.lit(NOWHERE)))
-    logs = ops.groupBy("law", "para", salt.alias("salt")).agg(F.array_sort(F.collect_list(item)).alias("log"))
+    logs = (ops.groupBy("law", "para") if keyed else ops.groupBy("law", "para", salt.alias("salt"))).agg(F.array_sort(F.collect_list(item)).alias("log"))
     first = F.min_by("text", "ordinal") if "ordinal" in base.columns else F.min("text")
     own = base.groupBy("law", "para").agg(first.alias("text"))
-    both = own.join(logs, own["law"].eqNullSafe(logs["law"]) & own["para"].eqNullSafe(logs["para"]), "full_outer").select(F.coalesce(own["law"], logs["law"]).alias("law"), F.coalesce(own["para"], logs["para"]).alias("para"), own["text"].alias("text"), "log")
+    on = (own["law"] == logs["law"]) & (own["para"] == logs["para"]) if keyed else own["law"].eqNullSafe(logs["law"]) & own["para"].eqNullSafe(logs["para"])
+    both = own.join(logs, on, "full_outer").select(F.coalesce(own["law"], logs["law"]).alias("law"), F.coalesce(own["para"], logs["para"]).alias("para"), own["text"].alias("text"), "log")
     still = both.where("log IS NULL").select("law", "para", "text", F.lit(None).cast("array<struct<why: string, date: string, instruction: string>>").alias("flags"), F.lit(None).cast(_RESULT.split("versions ")[1]).alias("versions"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -311,6 +311,43 @@ def sliced_provisions(texts: DataFrame, boundaries: DataFrame, key: list[str], t
     return both.select(*key, F.posexplode(cut("_text", "_marks")).alias("n", "x")).select(*key, "n", "x.*")
 
 
+def guarded(sliced: DataFrame, key: list[str]) -> DataFrame:
+    """Sliced provisions as a base's rows; a job that writes one whose text is not its source's own words fails.
+
+    The guard is part of the plan, so nothing that a later step makes of a row can get past it.
+    """
+    said = F.concat_ws(" ", F.lit("not in its source:"), *(F.col(c).cast("string") for c in key), F.col("para"))
+    return sliced.select(*key, "n", "para", F.when(F.col("verbatim"), F.col("text")).otherwise(F.raise_error(said)).alias("text"))
+
+
+def window_marks(rows: DataFrame, marks: DataFrame, key: list[str], text: str = "text", size: int = 18_000, overlap: int = 1_500, head: str = "lov nr") -> DataFrame:
+    """Acts (key, nr, at, date, title, body) out of headings that were quoted window by window.
+
+    ``marks`` has (key, start, n, nr, date, title, anchor), an anchor being the words of a heading in the window that
+    begins at ``start``. An anchor must hold ``head`` in lower case with single blanks; its place in the window, blanks being alike,
+    becomes a place in the text. The same place quoted by two windows is one heading, the first by window and order; of a
+    number's headings the first place holds, as later ones are running heads. A body ends where the next one begins.
+    """
+    cut = windows(rows.select(*key, F.col(text).alias("_text")), "_text", size, overlap, "_window")
+    quoted = marks.where(t.squeeze(F.lower("anchor")).contains(head)).select(*key, "start", F.struct("n", "nr", "date", "title", "anchor").alias("m"))
+    both = cut.join(quoted.groupBy(*key, "start").agg(F.array_sort(F.collect_list("m")).alias("_marks")), [*key, "start"])
+
+    @F.pandas_udf("array<long>")
+    def places(texts: pd.Series, asked: pd.Series) -> pd.Series:
+        out = []
+        for x, ms in zip(texts, asked, strict=True):
+            source = acts.Source(x or "")
+            out.append([source.locate(m["anchor"] or "") for m in ms])
+        return pd.Series(out)
+
+    found = both.withColumn("_at", places("_window", "_marks")).select(*key, "start", F.explode(F.arrays_zip("_marks", "_at")).alias("z"))
+    located = found.where("z._at >= 0").select(*key, (F.col("start") + F.col("z._at")).alias("at"), F.struct("start", "z._marks.n").alias("_order"), "z._marks.nr", "z._marks.date", "z._marks.title")
+    by_place = first_of_each(located, [*key, "at"], "_order")
+    by_number = first_of_each(by_place, [*key, "nr"], "at")
+    ends = slices(by_number.join(rows.select(*key, F.col(text).alias("_text")), key), key, "at", F.length("_text"))
+    return ends.select(*key, "nr", "at", "date", "title", F.substring(F.col("_text"), (F.col("at") + 1).cast("int"), (F.col("slice_end") - F.col("at")).cast("int")).alias("body"))
+
+
 def verified_ops(sections: DataFrame, quoted: DataFrame, key: list[str]) -> DataFrame:
     """Operations (key, para, change_type, instruction, new_text, flag) whose payloads are the section's own words.
 

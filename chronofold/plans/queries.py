@@ -382,13 +382,12 @@ def contamination_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def kind_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return score.histogram(table(spark, sf_dir, "events"), "event_type")
 
 
 @query("SELECT count(DISTINCT source) AS laws, count(*) AS versions FROM (SELECT DISTINCT source, lang FROM documents)")
 def truth_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = table(spark, sf_dir, "documents").select("source", "lang").distinct()
-    return versions.agg(F.countDistinct("source").alias("laws"), F.count("*").alias("versions"))
+    return score.coverage(table(spark, sf_dir, "documents").select(F.col("source").alias("law"), F.col("lang").alias("date")))
 
 
 @query("""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.core import schema
@@ -29,14 +32,22 @@ def by_line(raw: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(pieces), ["_file", "_start"]).withColumn("line_no", F.shiftleft(F.col("_piece").cast("long"), 33) + F.col("_row")).drop("_file", "_start", "_row", "_piece")
 
 
-def op_stream(spark: SparkSession, path: str, rank: int) -> DataFrame:
-    """Raw operations of a JSON-lines file (plain or gz) with its rank among the streams and their lines' order.
+def op_lines(spark: SparkSession, path: str, rank: int) -> tuple[DataFrame, DataFrame]:
+    """(raw operations, lines that are none) of a JSON-lines file (plain or gz): with the stream's rank and their lines' order.
 
-    Lines that are no JSON are left out, as a broken tail of an interrupted write is.
+    The second, (stream_rank, line_no, line), is for a dead-letter place: a broken tail of an interrupted write is there.
     """
-    raw = spark.read.schema(schema.RAW_OP + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    numbered = by_line(raw).withColumn("stream_rank", F.lit(rank))
-    return numbered.where("_corrupt_record IS NULL").drop("_corrupt_record").withColumn("target_law", t.law_of_ref(F.col("target_law"))).withColumn("act_refid", t.law_of_ref(F.col("act_refid")))
+    lines = by_line(spark.read.text(path)).where("trim(value) <> ''")
+    row = F.from_json("value", schema.RAW_OP + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    parsed = lines.select(row.alias("r"), "value", "line_no", F.lit(rank).alias("stream_rank"))
+    broken = F.col("r").isNull() | F.col("r._broken").isNotNull()
+    good = parsed.where(~broken).select("r.*", "line_no", "stream_rank").drop("_broken").withColumn("target_law", t.law_of_ref(F.col("target_law"))).withColumn("act_refid", t.law_of_ref(F.col("act_refid")))
+    return good, parsed.where(broken).select("stream_rank", "line_no", F.col("value").alias("line"))
+
+
+def op_stream(spark: SparkSession, path: str, rank: int) -> DataFrame:
+    """The raw operations of ``op_lines`` alone."""
+    return op_lines(spark, path, rank)[0]
 
 
 def overrides(spark: SparkSession, path: str) -> DataFrame:
@@ -77,9 +88,38 @@ def truth_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.TRUTH_INDEX).csv(path, header=True)
 
 
-def first_urn(json: str):
-    """The first ``URN:NBN`` string of a catalogue answer."""
-    return F.nullif(F.regexp_extract(F.col(json), r'"(URN:NBN[^"]*)"', 1), F.lit(""))
+URN = "URN:NBN"
+
+
+def first_urn(answer: Column | str) -> Column:
+    """The first value that begins with ``URN:NBN`` in a catalogue's JSON answer, however deep; null without one.
+
+    Values are looked at in the order of the document, each with what lies inside it before the next; names of members
+    and strings that stand in a list are none. A column's variant sorts its members by name, so the document is walked.
+    """
+
+    @F.pandas_udf("string")
+    def of(answers: pd.Series) -> pd.Series:
+        return answers.map(_first_urn)
+
+    return of(answer)
+
+
+def _first_urn(answer: str | None) -> str | None:
+    try:
+        todo = [json.loads(answer or "null")]
+    except ValueError:
+        return None
+    while todo:  # a stack with the next value on top
+        value = todo.pop()
+        if isinstance(value, str):
+            if value.startswith(URN):
+                return value
+        elif isinstance(value, dict):
+            todo.extend(reversed(value.values()))
+        elif isinstance(value, list):
+            todo.extend(x for x in reversed(value) if not isinstance(x, str))
+    return None
 
 
 def page_count(manifest: str):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,20 +21,37 @@ def recovered(rows: DataFrame, good: str, unresolved: str, reason: str = "reason
     rows.where(F.col(reason).isNotNull()).write.mode("overwrite").parquet(unresolved)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def not_in_other_batches(rows: DataFrame, path: str, key: list[str], batch: str) -> DataFrame:
+    """The rows whose key no batch but ``batch`` has under ``path``."""
+    spark = rows.sparkSession
+    if not exists(spark, path):
+        return rows
+    others = spark.read.parquet(path).where(F.col("batch").cast("string") != batch).select(*key).distinct()
+    return rows.join(others, key, "left_anti")
+
+
 def append_missing(rows: DataFrame, path: str, key: list[str], batch: str) -> int:
     """Writes the rows whose key no other batch has as a batch of their own, and says how many there are.
 
     A batch is a folder ``batch=<name>`` that Spark commits as a whole and a repeated run writes anew, so a job that
     failed or was retried leaves neither gaps nor repeats. Batches that run at the same time must not share keys.
     """
-    spark = rows.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        others = spark.read.parquet(path).where(F.col("batch").cast("string") != batch).select(*key).distinct()
-        rows = rows.join(others, key, "left_anti")
     own = f"{path}/batch={batch}"
-    rows.write.mode("overwrite").parquet(own)
-    return spark.read.parquet(own).count()
+    written = Observation()
+    not_in_other_batches(rows, path, key, batch).observe(written, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(own)
+    return written.get["n"]
+
+
+def bucketed(rows: DataFrame, table: str, key: list[str], buckets: int, path: str | None = None) -> None:
+    """A table whose files hold rows by the hash of ``key``, sorted: what groups or joins by it, with as many buckets, moves no row."""
+    writer = rows.repartition(buckets, *key).write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key)
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
 def histories(rows: DataFrame, path: str) -> None:
