@@ -18,6 +18,8 @@ from chronofold.llm.graph import components
 #: Fingerprints that a shard should hold, the most shards, and the fingerprints sampled for each shard's border.
 SHARD, MOST_SHARDS, SAMPLE_EACH = 8192, 1 << 16, 16
 LEAF = 64
+#: Pairs of fingerprints that are compared at a time; where all of them are near, each takes some dozens of bytes.
+PAIRS = 1 << 18
 #: Bytes of a text that are split into words at a time.
 SLICE = 4 << 20
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -179,7 +181,7 @@ def link(prints: np.ndarray, members: np.ndarray, queries: np.ndarray, near: int
                 continue
         # a leaf, or a ball too dense to split: every query against every member, in blocks
         every = np.concatenate([own, asked])
-        block = max(1, (1 << 22) // len(own))
+        block = max(1, PAIRS // len(own))
         for at in range(0, len(every), block):
             part = every[at : at + block]
             i, j = np.nonzero(np.bitwise_count(prints[part][:, None] ^ prints[own][None, :]) <= near)
