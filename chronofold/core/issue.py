@@ -133,23 +133,3 @@ def sliced(text: str, marks: list[tuple[str, int]]) -> list[tuple[str, str, bool
         head = "".join((lines[line - 1] if line <= len(lines) else "").split())
         out.append((para, body, body in whole, "".join(number.split()) in head))
     return out
-
-
-def plain_provisions(text: str) -> list[tuple[str, str]]:
-    """(id, text) from each ``§ N`` to the next; the first of an id holds. A letter right behind the number belongs to it."""
-    text = squeeze(text)
-    marks: list[tuple[int, int, str]] = []
-    at = text.find("§")
-    while at >= 0:
-        number = scan.blanks(text, at + 1)
-        end = scan.digits(text, number)
-        if end > number:
-            more = scan.digits(text, end + 1) if text.startswith("-", end) else 0
-            end = more if more > end + 1 else end
-            end += text[end : end + 1].isascii() and text[end : end + 1].islower()
-            marks.append((at, end, "§" + text[number:end]))
-        at = text.find("§", max(at + 1, end))
-    out: dict[str, str] = {}
-    for (_, end, para), stop in zip(marks, ends([m[0] for m in marks], len(text)), strict=True):
-        out.setdefault(para, text[end:stop].strip())
-    return list(out.items())

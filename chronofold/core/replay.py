@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from chronofold.core.subdoc import edit
-from chronofold.core.wording import CLEAN_ID, SUBUNIT, body_of
+from chronofold.core.wording import body_of, is_clean_id, names_part
 
 
 @dataclass
@@ -25,7 +25,7 @@ def outcome(text: str | None, para: str | None, change_type: str | None, instruc
     is called, unless only the heading changes; other payloads edit below the provision, or begin an absent one.
     """
     said = instruction or ""
-    part = SUBUNIT.search(said) is not None
+    part = names_part(said)
     if change_type == "repeal" and para:
         if not part:
             return None, None
@@ -40,7 +40,7 @@ def outcome(text: str | None, para: str | None, change_type: str | None, instruc
         changed = edit(text or "", said, payload)
         if changed is not None:
             return changed, None
-        if text is None and not part and CLEAN_ID.match(para):
+        if text is None and not part and is_clean_id(para):
             return body_of(payload), None
     return text, change_type or ""
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.core.wording import LETTERS
 from chronofold.functions import text as t
 
 ORDER = ["date", "act", "stream_rank", "line_no", "piece_no"]
@@ -78,6 +79,21 @@ def _gathered(parts: Column, opens: Callable[[Column], Column], joint: str) -> C
     return F.aggregate(parts, empty, lambda a, x: F.when(opens(x) | (F.size(a) == 0), F.array_append(a, x)).otherwise(grow(a, x)))
 
 
+def _titled(part: Column) -> Column:
+    """Whether what follows a ``§`` is a number with a letter at most, a full stop, and a word with a capital."""
+    words = F.split(t.squeeze(F.substring(part, 1, 200)), " ")
+    word = lambda k: F.coalesce(F.get(words, F.lit(k)), F.lit(""))
+    number = lambda x: F.regexp_replace(x, "^[0-9]+", "")
+    letters = F.array(*map(F.lit, ["", *LETTERS]))
+    capital = lambda x: F.array_contains(F.array(*(F.lit(c.upper()) for c in LETTERS)), F.substring(x, 1, 1))
+    ends = lambda x: F.array_contains(F.transform(letters, lambda c: F.concat(c, F.lit("."))), x)
+    counted = number(word(0)) != word(0)
+    at_once = counted & ends(number(word(0))) & capital(word(1))
+    apart = counted & (number(word(0)) == "") & (word(1) != ".") & ends(word(1)) & capital(word(2))
+    dotted = counted & (number(word(0)) == "") & (word(1) == ".") & capital(word(2))
+    return at_once | apart | dotted
+
+
 def pieces_of(payload: Column) -> Column:
     """A payload's provisions as an array (para, new_text): by line-start headings, or inline ones in a whole chapter.
 
@@ -85,8 +101,7 @@ def pieces_of(payload: Column) -> Column:
     no heading at all.
     """
     lines = _gathered(F.split(payload, "\n"), lambda x: t.heading_id(x).isNotNull(), "\n")
-    titled = lambda x: x.rlike(r"^\s*[0-9]+\s*[a-zæøå]?[.]\s+[A-ZÆØÅ]")
-    inline = F.transform(_gathered(F.split(payload, "§"), titled, "§"), lambda x, k: F.when(k > 0, F.concat(F.lit("§"), x)).otherwise(x))
+    inline = F.transform(_gathered(F.split(payload, "§"), _titled, "§"), lambda x, k: F.when(k > 0, F.concat(F.lit("§"), x)).otherwise(x))
     parts = F.when(opens_chapter(payload), inline).when(t.strip_left(payload).startswith("§"), lines)
     named = F.transform(parts, lambda p: F.struct(t.heading_id(p).alias("para"), F.regexp_replace(t.strip_left(p), r"(?U)\s+$", "").alias("new_text")))
     kept = F.filter(named, lambda x: x["para"].isNotNull())

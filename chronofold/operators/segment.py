@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.core import acts, issue, subdoc
+from chronofold.core.wording import MONTHS, SHORT_MONTHS
 from chronofold.functions import text as t
 
 
@@ -190,9 +191,88 @@ def law_texts(issues: DataFrame, key: list[str], text: str, needle: str, end_nee
     return issues.select(*key, cut(F.col(text), F.col(needle), F.coalesce(F.col(end_needle), F.lit(""))).alias(text)).where(F.col(text).isNotNull())
 
 
+def _numbered_rows(rows: DataFrame, key: list[str], found: Column) -> DataFrame:
+    """A row (key, n, fields) for each struct of an array, by its place."""
+    return rows.select(*key, F.posexplode(found).alias("n", "x")).select(*key, "n", "x.*")
+
+
 def plain_provisions(rows: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Provisions (key, n, para, text) of a plain text: from each ``§ N`` to the next, the first of an id; white space squeezed."""
-    return _mapped(rows, key, text, "para string, text string", issue.plain_provisions)
+    """Provisions (key, n, para, text) of a plain text: from each ``§ N`` to the next, the first of an id; white space squeezed.
+
+    The text is split at its signs; a part that no number opens goes on with the one before. A letter right behind the
+    number belongs to it.
+    """
+    number = lambda p: F.regexp_extract(F.ltrim(p), "^[0-9]+(?:-[0-9]+)?[a-z]?", 0)
+
+    def found(squeezed: Column) -> Column:
+        parts = F.split(squeezed, "§")
+        heads = F.transform(parts, lambda p, k: F.when(k > 0, number(p)).otherwise(F.lit("")))
+        opens = F.filter(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.get(heads, k) != "")
+        stops = F.transform(opens, lambda _, i: F.coalesce(F.get(opens, i + 1), F.size(parts)))
+
+        def piece(at: Column, stop: Column) -> Column:
+            whole = F.array_join(F.slice(parts, at + 1, stop - at), "§")
+            body = F.ltrim(whole)
+            return F.struct(F.concat(F.lit("§"), F.get(heads, at)).alias("para"), F.trim(F.substring(body, F.length(F.get(heads, at)) + 1, F.length(body))).alias("text"))
+
+        return F.when(F.size(parts) > 1, F.zip_with(opens, stops, piece))
+
+    pieces = rows.select(*key, t.once(t.squeeze(F.coalesce(F.col(text), F.lit(""))), found).alias("_p"))
+    ids = F.col("_p.para")
+    return _numbered_rows(pieces, key, F.filter("_p", lambda x, k: F.array_position(ids, x["para"]) == k + 1))
+
+
+def _cited_sections(text: Column) -> Column:
+    """Sections (law, section) of an act as an array: each from the ``I`` before a law that is cited by date to the next.
+
+    The text is split before each ``lov``; a part whose beginning cites a law by date, behind an ``I`` that stands alone,
+    opens a section, and the ``I`` with the white space behind it moves there from the part before.
+    """
+    parts = F.split(text, "(?i)(?=lov)", -1)
+    lead = lambda p: F.regexp_extract(p, r"(?U)(?:^|\W)([Ii]\s+)\z", 1)
+    second = lambda p: F.coalesce(F.get(F.split(t.squeeze(F.lower(F.substring(p, 1, 80))), " "), F.lit(1)), F.lit(""))
+    law = lambda p: F.when(t.begins_with_citation(p) & (second(p) != "av"), t.law_id(F.substring(p, 1, 200)))
+    marked = F.transform(parts, lambda p, k: F.struct(p.alias("p"), F.when((k > 0) & (lead(F.get(parts, k - 1)) != ""), law(p)).alias("law")))
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.element_at(a, -1)
+        kept_ = F.length(last["section"]) - F.length(lead(last["section"]))
+        closed = F.struct(last["law"].alias("law"), F.left(last["section"], kept_).alias("section"))
+        opened = F.struct(x["law"].alias("law"), F.concat(lead(last["section"]), x["p"]).alias("section"))
+        longer = F.struct(last["law"].alias("law"), F.concat(last["section"], x["p"]).alias("section"))
+        before = F.slice(a, 1, F.size(a) - 1)
+        return F.concat(before, F.when(x["law"].isNotNull(), F.array(closed, opened)).otherwise(F.array(longer)))
+
+    first = F.array(F.struct(F.lit(None).cast("string").alias("law"), F.lit("").alias("section")))
+    return F.filter(F.aggregate(marked, first, step), lambda s: s["law"].isNotNull())
+
+
+#: What names a term before its quotation (fixed values).
+TERM_WORDS = ("ordet", "uttrykket", "uttrykkene", "betegnelsen")
+
+
+def _terms_of(law: Column, section: Column) -> Column:
+    """The (law, old, new) of a section's quotations, form by form.
+
+    The forms: a word for terms, «A», "endres til", «B»; "endres", «A», "til", «B»; «A», "erstattes med", «B».
+    """
+    quotes = F.regexp_extract_all(section, F.lit("«([^»]+)»"), F.lit(1))
+    gaps = F.split(section, "«[^»]+»", -1)
+    words = lambda g: F.split(t.squeeze(F.lower(g)), " ")
+    spaced = lambda g, side: g.rlike(r"(?U)\s\z" if side else r"(?U)^\s")
+
+    def pair(k: Column) -> Column:
+        ahead, behind = F.get(gaps, k), F.get(gaps, k + 1)
+        word, said = F.element_at(words(F.when(k > 0, F.concat(F.lit("»"), ahead)).otherwise(ahead)), -1), F.array_join(words(behind), " ")
+        named = F.exists(F.array(*map(F.lit, TERM_WORDS)), lambda w: word.endswith(w))
+        apart = spaced(ahead, True) & spaced(behind, False) & spaced(behind, True)
+        form = F.when(apart & named & said.isin("endre til", "endres til"), 0).when(apart & word.isin("endre", "endres") & (said == "til"), 1).when(spaced(behind, False) & said.isin("erstatte med", "erstattes med"), 2)
+        bare = lambda q: F.regexp_replace(q, r"(?U)^\s+|\s+\z", "")
+        return F.struct(form.alias("form"), k.alias("k"), law.alias("target_law"), bare(F.get(quotes, k)).alias("term_old"), bare(F.get(quotes, k + 1)).alias("term_new"))
+
+    pairs = F.when(F.size(quotes) > 1, F.transform(F.sequence(F.lit(0), F.size(quotes) - 2), pair))
+    fits = F.filter(pairs, lambda x: x["form"].isNotNull() & (x["term_old"] != "") & ~x["term_old"].startswith("§") & (x["term_old"] != x["term_new"]))
+    return F.transform(F.array_sort(fits), lambda x: F.struct(x["target_law"].alias("target_law"), x["term_old"].alias("term_old"), x["term_new"].alias("term_new")))
 
 
 def repaired_boundaries(rows: DataFrame, key: list[str], line: str = "line", para: str = "para") -> DataFrame:
@@ -254,15 +334,50 @@ def replacement_blocks(rows: DataFrame, key: list[str], raw: str) -> DataFrame:
 
 
 def act_sections(rows: DataFrame, key: list[str], text: str) -> DataFrame:
-    return _mapped(rows, key, text, "target_law string, section string", acts.sections)
+    """Sections (key, n, target_law, section) ``I lov <citation>`` of acts, each up to the next."""
+    found = F.transform(_cited_sections(F.coalesce(F.col(text), F.lit(""))), lambda s: F.struct(s["law"].alias("target_law"), s["section"].alias("section")))
+    return _numbered_rows(rows, key, found)
 
 
 def term_reforms(rows: DataFrame, key: list[str], text: str) -> DataFrame:
-    return _mapped(rows, key, text, "target_law string, term_old string, term_new string", acts.term_reforms)
+    """Distinct (key, n, target_law, term_old, term_new) of acts' sections; references to provisions are no terms."""
+    cut = rows.select(*key, _cited_sections(F.coalesce(F.col(text), F.lit(""))).alias("_s"))
+    return _numbered_rows(cut, key, F.array_distinct(F.flatten(F.transform("_s", lambda s: F.coalesce(_terms_of(s["law"], s["section"]), F.array().cast("array<struct<target_law:string,term_old:string,term_new:string>>"))))))
 
 
 def amending_laws(rows: DataFrame, key: list[str], text: str) -> DataFrame:
-    return _mapped(rows, key, text, "law string", lambda x: [(law,) for law in acts.amending_laws(x)])
+    """The laws (key, n, law) whose dates a provenance text gives, but no resolutions or regulations, by date and number.
+
+    The text's words are read in order: a day, a month, a year, and a number behind ``nr``. What a date has used is no
+    part of another, and 14 characters before it must not name a resolution or regulation.
+    """
+
+    def found(words: Column) -> Column:
+        word = lambda k: F.coalesce(F.get(words, k), F.lit(""))
+        table = F.create_map(*(F.lit(x) for m in SHORT_MONTHS for x in (m, MONTHS[m])))
+
+        def dated(k: Column) -> Column:
+            day = F.regexp_extract(word(k), r"([0-9]{1,2})\z", 1)
+            name = F.lower(F.when(word(k + 1).endswith("."), F.left(word(k + 1), F.length(word(k + 1)) - 1)).otherwise(word(k + 1)))
+            month = F.coalesce(F.try_element_at(table, F.left(name, F.lit(4))), F.try_element_at(table, F.left(name, F.lit(3))))
+            glued = ~word(k + 3).isin("nr", "nr.")
+            number = F.regexp_extract(F.when(~glued, word(k + 4)).when(word(k + 3).startswith("nr"), F.regexp_replace(word(k + 3), "^nr[.]?", "")).otherwise(""), "^[0-9]+", 0)
+            ahead = F.concat(F.array_join(F.slice(words, F.greatest(k - 14, F.lit(1)), F.least(k, F.lit(15))), " "), F.lit(" "), F.left(word(k), F.length(word(k)) - F.length(day)))
+            near = F.lower(F.right(F.when(k > 0, ahead).otherwise(F.left(word(k), F.length(word(k)) - F.length(day))), F.lit(14)))
+            whole = (day != "") & (number != "") & word(k + 2).rlike(r"^[0-9]{4}\z") & name.rlike(r"(?U)^[\p{L}\p{N}]+\z") & (word(k + 3) != "")
+            law = F.when(month.isNotNull() & ~near.contains("res.") & ~near.contains("forskrift"), F.struct(word(k + 2).cast("int").alias("y"), month.alias("m"), day.cast("int").alias("d"), number.cast("decimal(38,0)").alias("n")))
+            used = F.length(number) + F.when(glued, F.length(F.regexp_extract(word(k + 3), "^nr[.]?", 0))).otherwise(0)
+            place = lambda word_, at: F.struct(word_.alias("word"), at.alias("at"))
+            return F.when(whole, F.struct(place(k, F.length(word(k)) - F.length(day)).alias("start"), place(F.when(glued, k + 3).otherwise(k + 4), used).alias("end"), law.alias("law")))
+
+        dates = F.filter(F.transform(words, lambda _, k: dated(k)), lambda x: x.isNotNull())
+        empty = F.struct(F.struct(F.lit(-1).alias("word"), F.lit(0).alias("at")).alias("free"), F.array().cast("array<struct<y:int,m:int,d:int,n:decimal(38,0)>>").alias("laws"))
+        taken = F.aggregate(dates, empty, lambda a, x: F.when(x["start"] >= a["free"], F.struct(x["end"].alias("free"), F.array_append(a["laws"], x["law"]).alias("laws"))).otherwise(a), lambda a: a["laws"])
+        named = F.array_sort(F.array_distinct(F.filter(taken, lambda x: x.isNotNull())))
+        return F.transform(named, lambda x: F.struct(F.format_string("%s-%02d-%02d-%s", x["y"].cast("string"), x["m"], x["d"], x["n"].cast("string")).alias("law")))
+
+    words = F.split(t.squeeze(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "<[^>]+>", " ")), " ")
+    return _numbered_rows(rows.select(*key, t.once(words, found).alias("_l")), key, F.col("_l"))
 
 
 def register_acts(rows: DataFrame, key: list[str], block: str) -> DataFrame:
@@ -284,10 +399,7 @@ def ocr_provisions(rows: DataFrame, key: list[str], text: str, repair: bool = Fa
     prepared = rows.withColumn(text, t.repaired_headings(F.col(text)) if repair else F.col(text))
 
     def of(body: str) -> list[tuple]:
-        import re
-
-        order = list(dict.fromkeys("§" + m for m in re.findall(r"(?m)^\s*§\s*(\d+(?:-\d+)?[a-z]?)\s*(?:\.|\()", body)))
-        return list(acts.walked_provisions(body, order, without_provenance).items())
+        return list(acts.walked_provisions(body, acts.opened_ids(body), without_provenance).items())
 
     found = _mapped(prepared, key, text, "para string, text string", of)
     body = t.ocr_folded(t.squeeze(F.regexp_replace("text", r"^(?U)\s*\.\s*", "")))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from chronofold.evaluate import score
 from chronofold.functions import text as t
 from chronofold.operators import align, fold, history, numbering, oplog, register, segment
-from chronofold.plans.reconstruct import reconstruct
 from chronofold.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -472,54 +471,3 @@ def redline(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = history.redline(pairs.select("conv_id", "turn", "before", "text"), "before", "text")
     side = lambda other: F.md5(F.regexp_replace(F.array_join(F.transform(F.filter("redline", lambda r: r["op"] != other), lambda r: r["text"]), ""), r"\s+", "").cast("binary"))
     return runs.select("conv_id", "turn", side("new").alias("before"), side("gone").alias("after"))
-
-
-# ---- statutes: small literal texts through the whole engine
-
-_STATUTE = "Tittel\n(1) Alfa en. Alfa to.\n(2) Beta en.\n(3) Gamma a) første b) andre"
-_BASES = [("1999-01-01-1", "§1", "gammel en", None), ("1999-01-01-1", "§2", "gammel to", None), ("1999-01-01-1", "§4", _STATUTE, None), ("1993-01-01-2", "§1", "øyeblikk", "1993-01-01")]
-_OPS = [
-    ("2001-05-05-7", "1999-01-01-1", "§ 1", "change", "§ 1 skal lyde:", "§ 1. Ny en.", "2001-06-01"),
-    ("2002-05-05-8", "1999-01-01-1", "§ 2", "repeal", "§ 2 oppheves", None, "2002-06-01"),
-    ("2003-05-05-9", "1999-01-01-1", None, "add", "ny § 9a skal lyde:", "nytt innhold", "2003-06-01"),
-    ("2004-05-05-10", "1999-01-01-1", "§ 4", "repeal", "§ 4 tredje ledd oppheves", None, "2004-06-01"),
-    ("2005-05-05-11", "1999-01-01-1", "§ 4", "change", "§ 4 første ledd andre punktum skal lyde:", "Alfa endret.", "2005-06-01"),
-    ("2006-05-05-12", "1999-01-01-1", "§ 1", "renumber", "§ 1 blir § 3", None, "2006-06-01"),
-    ("2007-05-05-13", "1993-01-01-2", "§ 1", "unknown", "Kapittel 1 skal lyde:", "§ 1. Øyeblikket.\n§ 2. Det neste.", "1993-01-01"),
-]
-
-
-def _statutes(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    bases = spark.createDataFrame(_BASES, "law string, para string, text string, base_as_of string")
-    raw = spark.createDataFrame([(a, law, p, c, i, n, d, None, None, 1, k) for k, (a, law, p, c, i, n, d) in enumerate(_OPS)], "act_refid string, target_law string, paragraph string, change_type string, instruction string, new_text string, date_in_force_resolved string, date_in_force string, target string, stream_rank int, line_no int")
-    return bases, raw
-
-
-@query("""
-SELECT * FROM (VALUES
-  ('1999-01-01-1', '§1', 'Ny en.'), ('1999-01-01-1', '§9a', 'nytt innhold'), ('1993-01-01-2', '§1', 'Øyeblikket.'), ('1993-01-01-2', '§2', 'Det neste.'),
-  ('1999-01-01-1', '§4', 'Tittel' || chr(10) || '(1) Alfa en. Alfa endret.' || chr(10) || '(2) Beta en.')) AS v(law, para, text)""")
-def subdoc_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bases, raw = _statutes(spark)
-    return reconstruct(bases, [raw], recovery=2)[0]
-
-
-@query("SELECT '1999-01-01-1' AS law, '§1' AS para, 'renumber' AS why, '2006-06-01' AS date, '§ 1 blir § 3' AS instruction")
-def statute_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bases, raw = _statutes(spark)
-    return reconstruct(bases, [raw], recovery=2)[1]
-
-
-@query("""
-SELECT * FROM (VALUES ('p1', 'title' || chr(10) || 'left top' || chr(10) || 'left low' || chr(10) || 'right top' || chr(10) || 'right low'), ('p2', 'b' || chr(10) || 'a')) AS v(page, text)""")
-def issue_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("p1", 100.0, 60.0, 10.0, 0, "right top"), ("p1", 100.0, 5.0, 90.0, 1, "left low"), ("p1", 100.0, 0.0, 1.0, 2, "title"), ("p1", 100.0, 50.0, 80.0, 3, "right low"), ("p1", 100.0, 5.0, 10.0, 4, "left top"), ("p1", 100.0, 5.0, 50.0, 5, ""), ("p2", None, 5.0, 9.0, 0, "a"), ("p2", None, 90.0, 1.0, 1, "b")]
-    return segment.reflow(spark.createDataFrame(rows, "page string, width double, hpos double, vpos double, seq int, txt string"), ["page"])
-
-
-@query("""
-SELECT * FROM (VALUES (1, '1952-11-21-2', 'amend'), (2, '1999-03-26-14', 'repeal'), (3, NULL, 'original')) AS v(id, law, class)""")
-def law_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "om endringer i lov 21. november 1952 nr. 2om x"), (2, "om opphevelse av Lov av 26 mars 1999 nr 14"), (3, "om noe annet")]
-    df = spark.createDataFrame(rows, "id int, title string")
-    return df.select("id", t.law_id(F.col("title")).alias("law"), t.act_class(F.col("title")).alias("class"))

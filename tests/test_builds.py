@@ -12,7 +12,7 @@ from chronofold.sources import readers
 def test_contents_by_words():
     toc = "jan. 1. Lov nr. 1 før\nInnhold\nMAI 3.\nLov nr 7 om endr. x\nsept. 12. LOV  nr. 8\nLov nr. 9 uten dag\nx 3. Lov nr. 10 om\nmai 333. Lov nr. 11\nmai 4. Lov nr. 12 om y mai 5. Lov nr. 13 samme linje"
     assert issue.entries(toc) == [(7, 5, 3, "om endr. x"), (8, 9, 12, ""), (12, 5, 4, "om y mai 5. Lov nr. 13 samme linje")]
-    assert issue.entries("") == [] and issue.chosen_heads("ingen", [1]) == [] and issue.plain_provisions("ingen") == []
+    assert issue.entries("") == [] and issue.chosen_heads("ingen", [1]) == []
 
 
 def test_a_law_ends_at_the_next_act():
