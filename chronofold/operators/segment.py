@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -204,22 +206,19 @@ def plain_provisions(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     """
     number = lambda p: F.regexp_extract(F.ltrim(p), "^[0-9]+(?:-[0-9]+)?[a-z]?", 0)
 
-    def found(squeezed: Column) -> Column:
-        parts = F.split(squeezed, "§")
-        heads = F.transform(parts, lambda p, k: F.when(k > 0, number(p)).otherwise(F.lit("")))
-        opens = F.filter(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.get(heads, k) != "")
-        stops = F.transform(opens, lambda _, i: F.coalesce(F.get(opens, i + 1), F.size(parts)))
-
-        def piece(at: Column, stop: Column) -> Column:
-            whole = F.array_join(F.slice(parts, at + 1, stop - at), "§")
-            body = F.ltrim(whole)
-            return F.struct(F.concat(F.lit("§"), F.get(heads, at)).alias("para"), F.trim(F.substring(body, F.length(F.get(heads, at)) + 1, F.length(body))).alias("text"))
-
-        return F.when(F.size(parts) > 1, F.zip_with(opens, stops, piece))
+    def step(a: Column, x: Column) -> Column:
+        last = F.element_at(a, -1)
+        body = F.ltrim(x["p"])
+        opened = F.struct(x["head"].alias("head"), F.substring(body, F.length(x["head"]) + 1, F.length(body)).alias("text"))
+        longer = F.struct(last["head"].alias("head"), F.concat(last["text"], F.lit("§"), x["p"]).alias("text"))
+        return F.when(x["head"] != "", F.array_append(a, opened)).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(longer)))
 
-    pieces = rows.select(*key, t.once(t.squeeze(F.coalesce(F.col(text), F.lit(""))), found).alias("_p"))
-    ids = F.col("_p.para")
-    return _numbered_rows(pieces, key, F.filter("_p", lambda x, k: F.array_position(ids, x["para"]) == k + 1))
+    # what a step needs is made for each part once; a function within a function would make the whole array anew each time
+    marked = F.transform(F.split(t.squeeze(F.coalesce(F.col(text), F.lit(""))), "§"), lambda p, k: F.struct(p.alias("p"), F.when(k > 0, number(p)).otherwise(F.lit("")).alias("head")))
+    pieces = F.filter(F.aggregate(marked, F.array(F.struct(F.lit("").alias("head"), F.lit("").alias("text"))), step), lambda x: x["head"] != "")
+    named = F.transform(pieces, lambda x: F.struct(F.concat(F.lit("§"), x["head"]).alias("para"), F.trim(x["text"]).alias("text")))
+    first = lambda p: F.filter(p, lambda x, k: F.array_position(p["para"], x["para"]) == k + 1)
+    return _numbered_rows(rows.select(*key, t.once(named, first).alias("_p")), key, F.col("_p"))
 
 
 def _cited_sections(text: Column) -> Column:
@@ -232,18 +231,17 @@ def _cited_sections(text: Column) -> Column:
     lead = lambda p: F.regexp_extract(p, r"(?U)(?:^|\W)([Ii]\s+)\z", 1)
     second = lambda p: F.coalesce(F.get(F.split(t.squeeze(F.lower(F.substring(p, 1, 80))), " "), F.lit(1)), F.lit(""))
     law = lambda p: F.when(t.begins_with_citation(p) & (second(p) != "av"), t.law_id(F.substring(p, 1, 200)))
-    marked = F.transform(parts, lambda p, k: F.struct(p.alias("p"), F.when((k > 0) & (lead(F.get(parts, k - 1)) != ""), law(p)).alias("law")))
+    pairs = F.zip_with(F.slice(parts, F.lit(2), F.size(parts)), F.slice(parts, F.lit(1), F.size(parts)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    marked = F.transform(F.filter(pairs, lambda z: z["p"].isNotNull()), lambda z: F.struct(z["p"].alias("p"), lead(z["p"]).alias("tail"), F.when(lead(z["q"]) != "", law(z["p"])).alias("law")))
 
     def step(a: Column, x: Column) -> Column:
         last = F.element_at(a, -1)
-        kept_ = F.length(last["section"]) - F.length(lead(last["section"]))
-        closed = F.struct(last["law"].alias("law"), F.left(last["section"], kept_).alias("section"))
-        opened = F.struct(x["law"].alias("law"), F.concat(lead(last["section"]), x["p"]).alias("section"))
-        longer = F.struct(last["law"].alias("law"), F.concat(last["section"], x["p"]).alias("section"))
-        before = F.slice(a, 1, F.size(a) - 1)
-        return F.concat(before, F.when(x["law"].isNotNull(), F.array(closed, opened)).otherwise(F.array(longer)))
-
-    first = F.array(F.struct(F.lit(None).cast("string").alias("law"), F.lit("").alias("section")))
+        closed = F.struct(last["law"].alias("law"), F.left(last["section"], F.length(last["section"]) - F.length(last["tail"])).alias("section"), F.lit("").alias("tail"))
+        opened = F.struct(x["law"].alias("law"), F.concat(last["tail"], x["p"]).alias("section"), x["tail"].alias("tail"))
+        longer = F.struct(last["law"].alias("law"), F.concat(last["section"], x["p"]).alias("section"), x["tail"].alias("tail"))
+        return F.concat(F.slice(a, 1, F.size(a) - 1), F.when(x["law"].isNotNull(), F.array(closed, opened)).otherwise(F.array(longer)))
+
+    first = F.array(F.struct(F.lit(None).cast("string").alias("law"), parts[0].alias("section"), lead(parts[0]).alias("tail")))
     return F.filter(F.aggregate(marked, first, step), lambda s: s["law"].isNotNull())
 
 
@@ -256,23 +254,27 @@ def _terms_of(law: Column, section: Column) -> Column:
 
     The forms: a word for terms, «A», "endres til", «B»; "endres", «A», "til", «B»; «A», "erstattes med", «B».
     """
-    quotes = F.regexp_extract_all(section, F.lit("«([^»]+)»"), F.lit(1))
-    gaps = F.split(section, "«[^»]+»", -1)
     words = lambda g: F.split(t.squeeze(F.lower(g)), " ")
     spaced = lambda g, side: g.rlike(r"(?U)\s\z" if side else r"(?U)^\s")
+    bare = lambda q: F.regexp_replace(q, r"(?U)^\s+|\s+\z", "")
+
+    def told(cut: Column) -> Column:
+        quotes, gaps = cut["quotes"], cut["gaps"]
+
+        def pair(k: Column) -> Column:
+            ahead, behind = F.get(gaps, k), F.get(gaps, k + 1)
+            word, said = F.element_at(words(F.when(k > 0, F.concat(F.lit("»"), ahead)).otherwise(ahead)), -1), F.array_join(words(behind), " ")
+            named = reduce(or_, (word.endswith(w) for w in TERM_WORDS))
+            apart = spaced(ahead, True) & spaced(behind, False) & spaced(behind, True)
+            form = F.when(apart & named & said.isin("endre til", "endres til"), 0).when(apart & word.isin("endre", "endres") & (said == "til"), 1).when(spaced(behind, False) & said.isin("erstatte med", "erstattes med"), 2)
+            return F.struct(form.alias("form"), k.alias("k"), cut["law"].alias("target_law"), bare(F.get(quotes, k)).alias("term_old"), bare(F.get(quotes, k + 1)).alias("term_new"))
+
+        pairs = F.when(F.size(quotes) > 1, F.transform(F.sequence(F.lit(0), F.size(quotes) - 2), pair))
+        fits = F.filter(pairs, lambda x: x["form"].isNotNull() & (x["term_old"] != "") & ~x["term_old"].startswith("§") & (x["term_old"] != x["term_new"]))
+        return F.transform(F.array_sort(fits), lambda x: F.struct(x["target_law"].alias("target_law"), x["term_old"].alias("term_old"), x["term_new"].alias("term_new")))
 
-    def pair(k: Column) -> Column:
-        ahead, behind = F.get(gaps, k), F.get(gaps, k + 1)
-        word, said = F.element_at(words(F.when(k > 0, F.concat(F.lit("»"), ahead)).otherwise(ahead)), -1), F.array_join(words(behind), " ")
-        named = F.exists(F.array(*map(F.lit, TERM_WORDS)), lambda w: word.endswith(w))
-        apart = spaced(ahead, True) & spaced(behind, False) & spaced(behind, True)
-        form = F.when(apart & named & said.isin("endre til", "endres til"), 0).when(apart & word.isin("endre", "endres") & (said == "til"), 1).when(spaced(behind, False) & said.isin("erstatte med", "erstattes med"), 2)
-        bare = lambda q: F.regexp_replace(q, r"(?U)^\s+|\s+\z", "")
-        return F.struct(form.alias("form"), k.alias("k"), law.alias("target_law"), bare(F.get(quotes, k)).alias("term_old"), bare(F.get(quotes, k + 1)).alias("term_new"))
-
-    pairs = F.when(F.size(quotes) > 1, F.transform(F.sequence(F.lit(0), F.size(quotes) - 2), pair))
-    fits = F.filter(pairs, lambda x: x["form"].isNotNull() & (x["term_old"] != "") & ~x["term_old"].startswith("§") & (x["term_old"] != x["term_new"]))
-    return F.transform(F.array_sort(fits), lambda x: F.struct(x["target_law"].alias("target_law"), x["term_old"].alias("term_old"), x["term_new"].alias("term_new")))
+    cut = F.struct(law.alias("law"), F.regexp_extract_all(section, F.lit("«([^»]+)»"), F.lit(1)).alias("quotes"), F.split(section, "«[^»]+»", -1).alias("gaps"))
+    return t.once(cut, told)
 
 
 def repaired_boundaries(rows: DataFrame, key: list[str], line: str = "line", para: str = "para") -> DataFrame:

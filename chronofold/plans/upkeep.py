@@ -62,7 +62,7 @@ def catalogue_urns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue answers with a document's whole text beside URNs in names, in lists, behind an escape, and in members of members."""
     no = F.col("doc_id").cast("string")
     said = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("URN:NBN:name")))
-    first = F.concat(F.lit('{"z": {"deep": [1, {"id": "\\\\u0055RN:NBN:no-a'), no, F.lit('"}]}, "a": "URN:NBN:no-later"}'))
+    first = F.concat(F.lit('{"z": {"deep": [1, {"id": "\\u0055RN:NBN:no-a'), no, F.lit('"}]}, "a": "URN:NBN:no-later"}'))
     listed = F.concat(F.lit('{"list": ["URN:NBN:no-listed", "x"], "text": '), said, F.lit(', "URN:NBN:key": null, "meta": {"k": "a URN:NBN:no", "urn": "URN:NBN:no-b'), no, F.lit('"}}'))
     after = F.concat(F.lit('[{"text": '), said, F.lit('}, [["URN:NBN:no-listed"], {"urn": "URN:NBN:no-b'), no, F.lit('"}], {"urn": "URN:NBN:no-later"}]'))
     broken = F.concat(F.lit('{"urn": "URN:NBN:no-b'), no)
