@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -22,6 +23,8 @@ SAMPLE, COMMON, SENT = 4096, 3, 100_000
 BROADCAST_KEYS = 1_000_000
 #: Rows of a bucket that one comparison takes, and from which its texts are ordered anew; larger buckets go in blocks.
 WIDE, DEEP = 64, 256
+#: The buckets of a set that its rows have along, by which a pair is compared once.
+FIRST = 64
 #: The fewest counters of a sketch, and the shingles for each of a larger set.
 CELLS, EACH = 128, 8
 
@@ -147,13 +150,23 @@ def compared(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     The rows outside a bucket's largest component lead in blocks of about ``WIDE``: a task holds one block and lets the
     bucket's rows pass by it. So what is copied grows with the rows outside, no bucket is held whole, and only likely
-    pairs are returned.
+    pairs are returned. Near copies share most of their buckets, and what a pair comes to does not depend on the bucket: it
+    is compared in the least bucket of both alone, and from one end of it. For that a row has the ``FIRST`` least buckets of its
+    set along; a pair that shares none of those is compared in each later bucket that it shares, so none is lost.
     """
 
-    def met(leads: list[np.ndarray], others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        (node, n, component, marks), (node2, n2, component2, marks2) = leads, others
+    def met(leads: list[np.ndarray], others: list[np.ndarray], h: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+        node, n, component, marks, met_in = leads[2:]
+        lead2, outside2, node2, n2, component2, marks2, met_in2 = others
         fine = (component[:, None] != component2[None, :]) & (np.minimum(n[:, None], n2[None, :]) >= least * np.maximum(n[:, None], n2[None, :]) - 1e-9)
+        # two leads of this block meet when the later one comes, and those of two blocks in the block of the larger node
+        place = np.where(lead2, before + np.cumsum(lead2) - 1, len(node))
+        fine &= (np.arange(len(node))[:, None] < place[None, :]) & (lead2 | ~outside2 | (node[:, None] > node2[None, :]))
         a, b = np.nonzero(fine)
+        if len(a):
+            earlier, earlier2 = [set(x[: bisect_left(x, h)]) for x in met_in], [x[: bisect_left(x, h)] for x in met_in2]
+            new = np.array([earlier[i].isdisjoint(earlier2[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+            a, b = a[new], b[new]
         good = may_reach([*marks, *marks2], a, b + len(marks), n[a], n2[b], least)
         return node[a[good]], node2[b[good]]
 
@@ -162,24 +175,29 @@ def compared(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, block, lead, *columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            columns.append(np.array([*batch.column(6).to_pylist(), None], object)[:-1])
+            h, block, *columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            columns += [np.array([*batch.column(k).to_pylist(), None], object)[:-1] for k in (7, 8)]
             starts = [0, *(np.flatnonzero((h[1:] != h[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(h)]
             out = []
             for s, e in zip(starts, starts[1:], strict=False):
                 own = [c[s:e] for c in columns]
                 if key != (h[s], block[s]):
                     key, leads = (h[s], block[s]), [c[:0] for c in own]
-                leads = [np.concatenate([x, c[lead[s:e]]]) for x, c in zip(leads, own, strict=True)]
-                out.append(met(leads, own))
+                before = len(leads[0])
+                leads = [np.concatenate([x, c[own[0]]]) for x, c in zip(leads, own, strict=True)]
+                out.append(met(leads, own, int(h[s]), before))
             u, v = (np.concatenate([x[k] for x in out]) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64())], ["u", "v"])
 
     blocks = F.ceil(F.col("others") / WIDE).cast("int")
     own = F.when(F.col("component") != F.col("base"), F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = rows.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("h", "block", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("lead"), "node", "n", "component")
-    marked = dealt.join(sets.select("node", "sketch"), "node").select("h", "block", "lead", "node", "n", "component", "sketch")
+    lead = F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("lead")
+    dealt = dealt.select("h", "block", lead, F.col("own").isNotNull().alias("outside"), "node", "n", "component")
+    # by node and size, so that a key's sets of other sizes, which may fare otherwise, have buckets of their own
+    met_in = rows.groupBy("node", "n").agg(F.slice(F.array_sort(F.collect_set("h")), 1, FIRST).alias("met_in"))
+    carried = sets.select("node", "n", "sketch").distinct().join(met_in, ["node", "n"])
+    marked = dealt.join(carried, ["node", "n"]).select("h", "block", "lead", "outside", "node", "n", "component", "sketch", "met_in")
     return marked.repartition("h", "block").sortWithinPartitions("h", "block", F.desc("lead")).mapInArrow(run, "u long, v long").distinct()
 
 

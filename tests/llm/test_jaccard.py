@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from chronofold.llm import jaccard
 
@@ -70,3 +71,45 @@ def test_stage_drops_near_copies_beyond_two_bits(spark):
 
 def test_empty_table(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("first, repeated", [(64, False), (2, False), (2, True)])
+def test_a_pair_of_many_buckets_is_made_once(spark, monkeypatch, first, repeated):
+    """Rows of 30 buckets with the same near copies, in small blocks and batches that cut through the leads of a block."""
+    monkeypatch.setattr(jaccard, "WIDE", 4)
+    monkeypatch.setattr(jaccard, "FIRST", first, raising=False)
+    rng = np.random.default_rng(11)
+    core = rng.integers(0, 1 << 63, 60, np.uint64)
+    sets = {}
+    for k in range(40):
+        for more in {0, 7 * (repeated and k % 10 == 3)}:
+            own = np.concatenate([rng.permutation(core)[: rng.integers(52, 61)], rng.integers(0, 1 << 63, int(rng.integers(0, 9)) + more, np.uint64)])
+            sets[k, len(own)] = jaccard.sketch(np.unique(own))
+    held = {h: [key for key in sets if rng.random() < 0.4] for h in range(30)}
+    component = {k: 0 if k < 12 else k for k, _ in sets}
+    rows = []
+    for h, keys in held.items():
+        parts = [component[k] for k, _ in keys]
+        base = max(set(parts), key=lambda c: (parts.count(c), c))
+        rows += [(h, k, n, component[k], len(keys), base, len(keys) - parts.count(base)) for k, n in keys]
+    want = set()
+    for keys in held.values():
+        for a in keys:
+            for b in keys:
+                one, other = (np.array([i]) for i in (0, 1))
+                if a[0] > b[0] and component[a[0]] != component[b[0]] and min(a[1], b[1]) >= 0.8 * max(a[1], b[1]) - 1e-9:
+                    if jaccard.may_reach([sets[a], sets[b]], one, other, np.array([a[1]]), np.array([b[1]]), 0.8)[0]:
+                        want.add((a[0], b[0]))
+    assert 100 < len(want) < 700
+    left = spark.createDataFrame(rows, "h long, node long, n long, component long, size long, base long, others long")
+    marks = spark.createDataFrame([(k, n, m) for (k, n), m in sets.items()], "node long, n long, sketch binary")
+    monkeypatch.setattr(type(left), "distinct", lambda df: df)  # what the tasks make, before copies of a pair are dropped
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [tuple(r) for r in jaccard.compared(left, marks, 0.8).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert set(got) == want
+    if first == 64:
+        assert len(got) == len(want)
