@@ -79,10 +79,15 @@ def may_reach(marks: list[bytes], a: np.ndarray, b: np.ndarray, n: np.ndarray, m
     return both >= least * (n + m - both) - 1e-9
 
 
+def ready(keys: DataFrame) -> DataFrame:
+    """``keys`` computed once, to be broadcast where they are few."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def chosen(rows: DataFrame, keys: DataFrame, how: str = "left_semi", by: str = "node") -> DataFrame:
     """``rows`` whose ``by`` is in ``keys`` (node), or (``left_anti``) not in them or null; keys are broadcast where they are few."""
-    keys = cut(keys.select(F.col("node").alias(by)))
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, by, how)
+    return rows.join(ready(keys.select(F.col("node").alias(by))), by, how)
 
 
 def both_nodes(pairs: DataFrame) -> DataFrame:
@@ -289,7 +294,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     wide = left.where(F.col("size") > DEEP).select("node").distinct()
     again = cut(apart(by_frequency(chosen(texts, wide), least, shingle), found))
     more = more.unionByName(compared(again, sets, least)).distinct().join(tried, ["u", "v"], "left_anti")
-    linked = linked.unionByName(similar(more, texts, least, shingle))
+    # what is joined already is joined as found: its stars take fewer steps than its links
+    linked = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(similar(more, texts, least, shingle))
 
     named = heads.join(components(linked).withColumnRenamed("node", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component_id"))
     out = sets.select("node", "digest").join(named, "digest").select("node", "component_id")

@@ -34,9 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("node"))
     node = fresh(docs, "node_id")
     kept = jaccard.chosen(docs.withColumn(node, F.col("doc_id").cast("long")), gone, "left_anti", node)
+    twice = jaccard.ready(twice.withColumnRenamed("node", node))
     rest = [c for c in docs.columns if c != "doc_id"]
-    once = jaccard.chosen(kept, twice, "left_anti", node).select(docs.columns)
-    least = jaccard.chosen(kept, twice, "left_semi", node).groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    once = kept.join(twice, node, "left_anti").select(docs.columns)
+    least = kept.join(twice, node, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
     return once.unionByName(least.select("doc_id", *(F.col("row")[c].alias(c) for c in rest)).select(docs.columns))
 
 
