@@ -6,14 +6,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.core.replay import outcome, outcome_by_kind, replay
 from chronofold.core.wording import body_of
 from chronofold.functions.text import without_heading
-from chronofold.operators.numbering import kept
-from chronofold.operators.oplog import as_of, order_struct
+from chronofold.operators.oplog import ORDER, as_of, order_struct, union
 from chronofold.session import bounded_batches
 
 
@@ -102,23 +101,30 @@ def state_at(base: DataFrame, ops: DataFrame, date: str | None = None, by_kind:
     taken in the tasks first; what came before it no longer matters, and operations that change no text are left out.
     Only what is behind it goes to the editor: sorted by provision and order, and read as a stream that holds one text
     at a time, so a provision's log may be of any length. Provisions without such a tail never leave the JVM.
+
+    Texts are moved once: base texts and last whole texts meet in one aggregate, and edits come to where these are.
     """
     change = "kind" if by_kind else "change_type"
-    key = ["law", "para"]
-    rows = kept(as_of(ops, date).where("para IS NOT NULL").select(*key, order_struct(F.col(change).alias("change"), "instruction", "new_text").alias("_at"), _effect(by_kind).alias("_do")).where("_do <> 'none'"))
-    last = rows.where("_do <> 'edit'").groupBy(*key).agg(F.max(F.struct("_at", "_do")).alias("_last"))
+    # a law may be null: with keys that are not, the join finds both sides dealt out by them already
+    place, key = [F.coalesce("law", F.lit("")).alias("_law"), F.col("law").isNull().alias("_none"), F.col("para")], ["_law", "_none", "para"]
+    order = lambda at: F.struct(*(F.col(f"{at}.{c}") for c in ORDER))
+    rows = as_of(ops, date).where("para IS NOT NULL").select(*place, order_struct(F.col(change).alias("change"), "instruction", "new_text").alias("_at"), _effect(by_kind).alias("_do")).where("_do <> 'none'")
+    edits = rows.where("_do = 'edit'")
     first = F.min_by("text", "ordinal") if "ordinal" in base.columns else F.min("text")
-    own = base.where("para IS NOT NULL").groupBy(*key).agg(first.alias("text"))
-    seeds = _beside(own, last, key, "full_outer").select(*key, F.when(F.col("_last").isNull(), F.col("text")).when(F.col("_last._do") == "set", F.col("_last._at.new_text")).alias("text"), F.coalesce(F.col("_last._do") == "set", F.lit(False)).alias("set"))
-    tail = kept(_beside(rows.where("_do = 'edit'"), last, key, "left").where("_last IS NULL OR _at > _last._at").select(*key, "_at"))
-    marked = _beside(seeds, tail.groupBy(*key).agg(F.count("*").alias("_n")), key, "full_outer")
+    known = base.where("para IS NOT NULL").select(*place, *(c for c in ("text", "ordinal") if c in base.columns))
+    every = union(known, rows.where("_do <> 'edit'").select(*key, F.struct("_at", "_do").alias("_whole")), edits.select(*key, order("_at").alias("_edit")))
+    heads = every.groupBy(*key).agg(first.alias("text"), F.max("_whole").alias("_last"), F.max("_edit").alias("_edit"))
+    seeds = heads.withColumn("text", F.when(F.col("_last").isNull(), F.col("text")).when(F.col("_last._do") == "set", F.col("_last._at.new_text"))).withColumn("set", F.coalesce(F.col("_last._do") == "set", F.lit(False)))
+    tailed = F.col("_edit").isNotNull() & (F.col("_last").isNull() | (F.col("_edit") >= order("_last._at")))
     # blanks that only Python takes for such
-    python = F.col("_n").isNotNull() | (F.col("set") & F.col("text").rlike("[\x1C-\x1F]"))
-    done = marked.where(~python).select(*key, F.when(F.col("set"), F.col("text") if by_kind else without_heading(F.col("text"))).otherwise(F.col("text")).alias("text"))
-    none = F.lit(None).cast("string")
-    begin = marked.where(python).select(*key, F.lit(None).cast(tail.schema["_at"].dataType).alias("_at"), "text", F.coalesce("set", F.lit(False)).alias("set"))
-    lines = begin.unionByName(tail.select(*key, "_at", none.alias("text"), F.lit(False).alias("set"))).repartition(*key).sortWithinPartitions(*key, F.col("_at").asc_nulls_first())
-    sent = lines.select(*key, F.col("_at").isNull().alias("begins"), "text", "set", "_at.change", "_at.instruction", "_at.new_text")
+    python = tailed | (F.col("set") & F.col("text").rlike("[\x1C-\x1F]"))
+    law = F.when(~F.col("_none"), F.col("_law")).alias("law")
+    done = seeds.where(~python).select(law, "para", F.when(F.col("set"), F.col("text") if by_kind else without_heading(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    # a provision's first line has its text, whether its edit is behind the last whole one or not
+    lined = edits.select(*key, "_at", F.lag("_at").over(Window.partitionBy(*key).orderBy("_at")).isNull().alias("_first"))
+    begins, behind = F.coalesce("_first", F.lit(True)), F.col("_at").isNotNull() & (F.col("_last").isNull() | (F.col("_at") > F.col("_last._at")))
+    lines = seeds.where(python).join(lined, key, "left").select(*key, begins.alias("begins"), behind.alias("behind"), F.when(begins, F.col("text")).alias("text"), "set", "_at")
+    sent = lines.where("begins OR behind").sortWithinPartitions(*key, F.col("_at").asc_nulls_first()).select(law, "para", "begins", "behind", "text", "set", "_at.change", "_at.instruction", "_at.new_text")
     bounded_batches(base.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +141,9 @@ def state_at(base: DataFrame, ops: DataFrame, date: str | None = None, by_kind:
                     here, text = (row["law"], row["para"]), row["text"]
                     if row["set"] and not by_kind:
                         text = body_of(text)
-                elif by_kind:
+                if not row["behind"]:
+                    continue
+                if by_kind:
                     text = outcome_by_kind(text, row["change"], row["instruction"], row["new_text"])[0]
                 else:
                     text = outcome(text, row["para"], row["change"], row["instruction"], row["new_text"])[0]
@@ -149,13 +157,6 @@ def state_at(base: DataFrame, ops: DataFrame, date: str | None = None, by_kind:
     return done.unionByName(sent.mapInArrow(run, "law string, para string, text string")).where("text IS NOT NULL")
 
 
-def _beside(x: DataFrame, y: DataFrame, key: list[str], how: str) -> DataFrame:
-    """A join by a key of which nulls are equal."""
-    theirs = y.select(*(F.col(c).alias(f"_{c}") for c in key), *(c for c in y.columns if c not in key))
-    joined = x.join(theirs, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], how)
-    return joined.select(*(F.coalesce(c, f"_{c}").alias(c) for c in key), *(c for c in joined.columns if c not in key and c not in {f"_{k}" for k in key}))
-
-
 def flags(folded: DataFrame) -> DataFrame:
     return folded.select("law", "para", F.explode("flags").alias("f")).select("law", "para", "f.why", "f.date", "f.instruction")
 

@@ -126,7 +126,9 @@ def load(raw: DataFrame, first_recovery_rank: int) -> DataFrame:
     """
     rows = normalise(raw)
     primary, recovery = rows.where(F.col("stream_rank") < first_recovery_rank), rows.where(F.col("stream_rank") >= first_recovery_rank)
-    return keep_first(gap_fill(primary, recovery, ["law", "para"]), ["law", "act", "para", "date", "instruction"], ["stream_rank", "line_no", "piece_no"])
+    # payloads are taken apart once more for the provisions that are owned, so only where something could fill a gap
+    alone = not raw.isStreaming and raw.where(F.col("stream_rank") >= first_recovery_rank).isEmpty()
+    return keep_first(primary if alone else gap_fill(primary, recovery, ["law", "para"]), ["law", "act", "para", "date", "instruction"], ["stream_rank", "line_no", "piece_no"])
 
 
 def load_by_kind(raw: DataFrame) -> DataFrame:
@@ -144,7 +146,12 @@ def as_of(ops: DataFrame, date: str | None = None) -> DataFrame:
 
 
 def since_snapshot(ops: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Operations on or after their law's snapshot (law, base_as_of); all of those without a date or a snapshot."""
+    """Operations on or after their law's snapshot (law, base_as_of); all of those without a date or a snapshot.
+
+    Where no snapshot has a date there is nothing to compare, and the log is not moved for it.
+    """
+    if not snapshots.isStreaming and snapshots.where("base_as_of <> ''").isEmpty():
+        return ops
     joined = ops.join(snapshots.select("law", "base_as_of"), "law", "left")
     return joined.where("base_as_of IS NULL OR base_as_of = '' OR date IS NULL OR date = '' OR date >= base_as_of").select(ops.columns)
 

@@ -128,3 +128,20 @@ def test_redline_of_a_hundred_thousand_words():
     assert [t for op, t in steps if op != "new"] == a
     assert [t for op, t in steps if op != "gone"] == b
     assert peak < 200 << 20
+
+
+def test_state_moves_each_text_twice_at_most(spark):
+    """An exchange for the log's first rows, one for whole texts and one for edits; nothing is written in between, no snapshot or recovery moves the log."""
+    from chronofold.plans.reconstruct import state
+
+    raw = spark.createDataFrame(
+        [("a1", "L", "§ 1", "change", "§ 1 andre ledd skal lyde:", "(2) Ny en.", "2001", None, None, 0, 1), ("a2", "L", "§ 2", "change", "§ 2 skal lyde:", "§ 2. Ny", "2002", None, None, 0, 2), ("a3", None, "§ 1", "change", "§ 1 skal lyde:", "§ 1. Uten lov", "2002", None, None, 0, 3)],
+        "act_refid string, target_law string, paragraph string, change_type string, instruction string, new_text string, date_in_force_resolved string, date_in_force string, target string, stream_rank int, line_no long",
+    )
+    bases = spark.createDataFrame([("L", "§1", STATUTE, None), ("L", "§2", "gammel", None), ("L", "§3", "urørt", None), (None, "§4", "uten lov", None)], "law string, para string, text string, base_as_of string")
+    made = state(bases, [raw])
+    got = {(r["law"], r["para"]): r["text"] for r in made.collect()}
+    assert got == {("L", "§1"): STATUTE.replace("(2) Beta en.", "(2) Ny en."), ("L", "§2"): "Ny", ("L", "§3"): "urørt", (None, "§1"): "Uten lov", (None, "§4"): "uten lov"}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # edits and what they are applied to
+    assert "checkpoint" not in made._jdf.queryExecution().toRdd().toDebugString().lower()
